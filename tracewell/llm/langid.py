@@ -128,12 +128,12 @@ def has_letter(text: str) -> Column:
     return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
-def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+def identify(df: DataFrame, model: LanguageModel, text: str = "text", prefix: str = "") -> DataFrame:
     """df with lang_pred, score (the winner's share of the text's n-grams, 0 to 1) and n_grams.
 
     Null, empty and letterless texts get `und` and 0, as does every text if no language is known.
     Ties go to the language with more training texts. Repeated rows get equal results; columns of
-    df named like the results are replaced."""
+    df named like the results are replaced; a prefix for their names avoids that."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def start():
@@ -151,6 +151,6 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
 
         return make
 
-    out = append_arrow(df, [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("n_grams", LongType())], start)
-    known = has_letter(text) & F.col("lang_pred").isNotNull()
-    return out.withColumns({"lang_pred": F.when(known, F.col("lang_pred")).otherwise(UNDETERMINED), "score": F.when(known, F.col("score")).otherwise(0.0)})
+    out = append_arrow(df, [StructField(f"{prefix}lang_pred", StringType()), StructField(f"{prefix}score", DoubleType()), StructField(f"{prefix}n_grams", LongType())], start)
+    known = has_letter(text) & F.col(f"{prefix}lang_pred").isNotNull()
+    return out.withColumns({f"{prefix}lang_pred": F.when(known, F.col(f"{prefix}lang_pred")).otherwise(UNDETERMINED), f"{prefix}score": F.when(known, F.col(f"{prefix}score")).otherwise(0.0)})

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import langid
+from tracewell.llm import bpe, decontam, langid, linededup, simhash
 from tracewell.llm.common import crc_mod
 
 
@@ -13,15 +14,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sha(parts: Column, sep: str) -> Column:
+    return F.sha2(F.array_join(parts, sep), 256)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(crc_mod("doc_id", 3) != 1))
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "n_grams")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.clusters(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
+    return bpe.decode(ids, vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.col("ids").cast("array<string>"), " ").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = decontam.n_hit(F.col("runs"))
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), sha(F.col("items"), ",").alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    maps = linededup.materialise(linededup.keep_bitmaps(docs), "keep_bitmaps")
+    kept = linededup.kept_text(F.col("text"), F.col("keep"))
+    return docs.join(maps, "doc_id", "left").select("doc_id", linededup.n_lines(F.col("text")).alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH l AS (SELECT doc_id, UNNEST(ls) AS line, UNNEST(RANGE(LEN(ls))) AS pos
+           FROM (SELECT doc_id, STRING_SPLIT(COALESCE(text, ''), CHR(10)) AS ls FROM documents)),
+k AS (SELECT *, TRANSLATE(TRIM(line, ' ' || CHR(9) || CHR(10) || CHR(11) || CHR(12) || CHR(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+d AS (SELECT key, MAX(doc_id) AS keeper FROM k WHERE LENGTH(key) >= 20 GROUP BY key HAVING COUNT(DISTINCT doc_id) >= 3),
+f AS (SELECT k.*, COALESCE(k.doc_id <> d.keeper, FALSE) AS gone FROM k LEFT JOIN d ON k.key = d.key)
+SELECT doc_id, COUNT(*) AS n_lines, COUNT(*) FILTER (gone) AS n_dropped,
+       SHA256(COALESCE(STRING_AGG(line, CHR(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM f GROUP BY doc_id
+"""
+
+
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op6_bpe, op8_decontaminate, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_dedup": OP10_SQL}
