@@ -10,8 +10,9 @@ significant slice downward: rows with the bit set stay ahead while they are fewe
 they become the new candidates. What is still tied below the last slice has equal scores, and the
 smallest vec_ids of it fill up the k: the boundary is exact.
 
-Blocks and query blocks meet by an equality join on the block number, once each. Per block and query
-k rows are left; a rank over the query merges them.
+Blocks are dealt evenly to groups, a few for each shuffle partition; every query block goes to every
+group, and an equality join on the group brings each block and query block together once. Per block
+and query k rows are left; a rank over the query merges them.
 """
 
 from __future__ import annotations
@@ -28,7 +29,11 @@ from tracewell.llm.common import materialise
 SCALE = 1024
 BLOCK = 8192
 #: Queries in a block of queries.
-QUERIES = 64
+QUERIES = 256
+#: Groups of blocks for each shuffle partition.
+GROUPS = 4
+#: Quantised components must be smaller than this; others fail.
+LARGEST = 1 << 31
 
 BLOCKS = StructType([StructField("part", IntegerType()), StructField("seq", IntegerType()), StructField("dims", IntegerType()), StructField("bits", IntegerType()), StructField("ids", BinaryType()), StructField("low", BinaryType()), StructField("slices", BinaryType())])
 QBLOCKS = StructType([StructField("dims", IntegerType()), StructField("ids", BinaryType()), StructField("weights", BinaryType())])
@@ -40,13 +45,14 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     v = F.transform(F.col(embedding), lambda x: x.cast("double"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).where(finite)
-    return rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * SCALE)).alias("v"))
+    whole = lambda x: F.when(F.abs(x * SCALE) < LARGEST, F.floor(x * SCALE)).otherwise(F.raise_error(F.lit("a component is too large to quantise")).cast("long"))
+    return rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(v, whole).alias("v"))
 
 
 def pack(bits: np.ndarray) -> np.ndarray:
     """Rows of booleans as bitmaps of 64-bit words."""
     bits = np.pad(bits, [(0, 0)] * (bits.ndim - 1) + [(0, -bits.shape[-1] % 64)])
-    return np.packbits(bits, axis=-1, bitorder="little").view(np.uint64)
+    return np.ascontiguousarray(np.packbits(bits, axis=-1, bitorder="little")).view(np.uint64)
 
 
 def sliced(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +173,8 @@ def query_blocks(queries: DataFrame, vec_id: str, embedding: str) -> DataFrame:
             ids, values = as_arrays(rows)
             yield pa.RecordBatch.from_pylist([{"dims": values.shape[1], "ids": ids.tobytes(), "weights": values.tobytes()}], schema=pa.schema([("dims", pa.int32()), ("ids", pa.binary()), ("weights", pa.binary())]))
 
-    return materialise(usable(queries, vec_id, embedding).mapInArrow(build, QBLOCKS), "query_blocks")
+    once = usable(queries, vec_id, embedding).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return materialise(once.mapInArrow(build, QBLOCKS), "query_blocks")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -176,14 +183,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "ve
     All, if there are fewer; ties to the smaller vec_id; a query's own vec_id is no candidate.
     Null ids, null vectors and vectors with a null or non-finite component take no part; vectors
     meet only those of as many dimensions; empty vectors score 0. Rows that repeat a vec_id count
-    once each as candidates; a query that repeats an id and a vector is one query. Empty tables:
-    no rows."""
+    once each as candidates; queries that repeat an id are one query, with the smallest quantised
+    vector. Empty tables: no rows."""
     blocks = index(vectors, vec_id, embedding)
-    asked = query_blocks(queries.dropDuplicates([vec_id]), vec_id, embedding)
-    # Every query block goes to every block: block numbers are spelled out, and the join is on them.
-    numbers = blocks.select("part", "seq", "dims").groupBy("dims").agg(F.collect_list(F.struct("part", "seq")).alias("at"))
-    sent = asked.join(F.broadcast(numbers), "dims").select("dims", F.explode("at").alias("at"), F.col("ids").alias("q_ids"), "weights").select("dims", "at.part", "at.seq", "q_ids", "weights")
-    met = blocks.join(sent, ["part", "seq", "dims"])
+    asked = query_blocks(queries, vec_id, embedding)
+    groups = max(1, min(blocks.count(), GROUPS * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = blocks.withColumn("group", F.pmod(F.col("part") + F.col("seq"), F.lit(groups)))
+    sent = asked.select("dims", F.col("ids").alias("q_ids"), "weights", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    met = dealt.join(sent, ["group", "dims"])
 
     def search(batches):
         for batch in batches:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, decontam, langid, linededup, simhash
+from tracewell.llm import bitsliced, bpe, decontam, html, langid, linededup, simhash
 from tracewell.llm.common import crc_mod
 
 
@@ -29,6 +29,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return bitsliced.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
@@ -48,6 +58,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(maps, "doc_id", "left").select("doc_id", linededup.n_lines(F.col("text")).alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
+OP4_SQL = r"""
+WITH v AS (SELECT vec_id, LIST_TRANSFORM(embedding, lambda x: CAST(FLOOR(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND LEN(LIST_FILTER(embedding, lambda x: x IS NULL OR NOT ISFINITE(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(LIST_SUM(LIST_TRANSFORM(RANGE(1, LEN(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 OP10_SQL = r"""
 WITH l AS (SELECT doc_id, UNNEST(ls) AS line, UNNEST(RANGE(LEN(ls))) AS pos
            FROM (SELECT doc_id, STRING_SPLIT(COALESCE(text, ''), CHR(10)) AS ls FROM documents)),
@@ -62,8 +81,8 @@ FROM f GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op6_bpe, op8_decontaminate, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_html, op4_top_k, op6_bpe, op8_decontaminate, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op4_top_k": OP4_SQL, "op10_line_dedup": OP10_SQL}
