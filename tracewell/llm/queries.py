@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bitsliced, bpe, decontam, html, langid, linededup, simhash
+from tracewell.llm import bitsliced, bpe, ctw, decontam, html, langid, linededup, simhash
 from tracewell.llm.common import crc_mod
 
 
@@ -39,6 +39,11 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, tokens = ctw.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) != 1)
+    return scores.select("doc_id", (crc_mod("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
@@ -81,7 +86,7 @@ FROM f GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_html, op4_top_k, op6_bpe, op8_decontaminate, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_html, op4_top_k, op5_lm_score, op6_bpe, op8_decontaminate, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
