@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bitsliced, bpe, ctw, decontam, html, langid, linededup, simhash
+from tracewell.llm import bitsliced, bpe, ctw, decontam, html, langid, linededup, pii, secrets, simhash
 from tracewell.llm.common import crc_mod
 
 
@@ -50,6 +50,27 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids, vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.col("ids").cast("array<string>"), " ").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def n_of(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fit(docs)).drop("text")
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select("doc_id", *[n_of(k) for k in ("assign", "access", "hex")], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), n_of("random"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *[n_of(k) for k in pii.BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = decontam.n_hit(F.col("runs"))
@@ -86,7 +107,7 @@ FROM f GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_html, op4_top_k, op5_lm_score, op6_bpe, op8_decontaminate, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_html, op4_top_k, op5_lm_score, op6_bpe, op7_secrets, op8_decontaminate, op9_pii, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
