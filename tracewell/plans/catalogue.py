@@ -1,11 +1,515 @@
 """The queries of the graph engine by name, with their SQL twins."""
 
-FLAGSHIP = "rollup_edges"
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewell.functions import scalar
+from tracewell.operators import catalog, hierarchy, layers, nodes, ontology, rollup, traversal
+from tracewell.plans.sql import ANC, EDGES, NODES, PAIRS, with_ctes
+from tracewell.sources import graph
+from tracewell.streaming import events as ev
+
+FLAGSHIP = "domain_dataset_lineage"
+_kept: dict = {}
+
+
+def kept(spark: SparkSession, d: str, name: str, make) -> DataFrame:
+    """Tables that many queries share, cached for an application and a folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _kept:
+        _kept[key] = make()
+        if isinstance(_kept[key], DataFrame):
+            _kept[key] = _kept[key].persist()
+    return _kept[key]
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d = spark, d
+        self.graph = kept(spark, d, "graph", lambda: graph.from_tables(spark, d))
+        self.nodes, self.edges, self.containment = self.graph.nodes, self.graph.edges, self.graph.containment
+
+    @property
+    def closure(self) -> DataFrame:
+        return kept(self.spark, self.d, "closure", lambda: hierarchy.closure(self.containment))
+
+    @property
+    def pairs(self) -> DataFrame:
+        return kept(self.spark, self.d, "pairs", lambda: rollup.rollup(self.edges, self.closure))
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.d}/{name}.parquet")
+
+    @property
+    def jobs(self) -> DataFrame:
+        return ev.numbered(self.read("events"))
+
+    @property
+    def views(self) -> DataFrame:
+        return self.read("documents").select(F.col("doc_id").alias("view_id"), F.col("lang").alias("view_type"), F.col("source").alias("created_by"), "n_chars")
+
+    def urns(self, *urns: str) -> DataFrame:
+        return self.nodes.where(F.col("urn").isin(*urns)).select("urn")
+
+    @property
+    def instances(self) -> DataFrame:
+        """Suppliers with a key that is a multiple of 5 go to layer `raw`, region 2 to `core`."""
+        at = self.nodes.where(F.col("urn").rlike(r"^urn:lg:tpch:container:s[0-9]*[05]$") | (F.col("urn") == "urn:lg:tpch:domain:2"))
+        return at.select("urn", F.when(F.col("entity_type") == "domain", "core").otherwise("raw").alias("layer"))
+
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *ctes: str):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, d: f(Tables(spark, d))
+        if sql:
+            SQL[f.__name__] = with_ctes(sql, *ctes)
+        return f
+
+    return add
+
+
+DOMAIN, PLATFORM, SUPPLIER, ORDER, PART, CUSTOMER, NATION = "urn:lg:tpch:domain:1", "urn:lg:tpch:dataplatform:Brand#11", "urn:lg:tpch:container:s1", "urn:lg:tpch:dataset:o1", "urn:lg:tpch:dataset:p1", "urn:lg:tpch:container:c1", "urn:lg:tpch:system:1"
+RULES = [{"layer": "core", "priority": 5, "entity_types": ["domain"]}, {"layer": "mart", "priority": 9, "urn_pattern": "*domain:3"}, {"layer": "parts", "priority": 1, "entity_types": ["dataPlatform"]}]
+
+
+@query("SELECT p.source_urn, p.target_urn, p.weight FROM pairs p JOIN nodes a ON a.urn = p.source_urn AND a.level = 3 JOIN nodes b ON b.urn = p.target_urn AND b.level = 3 JOIN anc x ON x.urn = p.source_urn AND x.ancestor_urn = 'urn:lg:tpch:domain:1'", NODES, ANC, PAIRS)
+def domain_dataset_lineage(t: Tables) -> DataFrame:
+    """Datasets of a domain with lineage to other datasets, and its weight."""
+    at = t.nodes.where("level = 3").select("urn")
+    inside = hierarchy.descendants(t.closure, DOMAIN, 10).join(at, "urn", "left_semi").select(F.col("urn").alias("source_urn"))
+    return t.pairs.join(inside, "source_urn", "left_semi").join(at.withColumnRenamed("urn", "target_urn"), "target_urn", "left_semi").select("source_urn", "target_urn", "weight")
+
+
+@query("SELECT entity_type, COUNT(*) AS n FROM nodes GROUP BY 1", NODES)
+def nodes_by_type(t):
+    return t.nodes.groupBy("entity_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT edge_type, COUNT(*) AS n, COUNT(confidence) AS n_conf FROM edges GROUP BY 1", EDGES)
+def edges_by_type(t):
+    return t.edges.groupBy("edge_type").agg(F.count("*").alias("n"), F.count("confidence").alias("n_conf"))
+
+
+@query("SELECT urn, display_name FROM nodes WHERE LOWER(display_name) LIKE '%er#00000000%' OR LOWER(urn) LIKE '%er#00000000%' OR LOWER(urn) LIKE '%container:s1%' ", NODES)
+def nodes_search(t):
+    return nodes.query(t.nodes, nodes.search("er#00000000") | nodes.search("container:s1"), limit=None).select("urn", "display_name")
+
+
+def _property(name: str, sql: str, *args):
+    f = lambda t: nodes.query(t.nodes, nodes.property_filter(*args), limit=None).select("urn")
+    f.__name__ = name
+    query(sql)(f)
+
+
+_property("props_gt", "SELECT 'urn:lg:tpch:dataset:o' || o_orderkey AS urn FROM orders WHERE o_totalprice > 200000", "totalprice", "gt", 200000)
+_property("props_lt", "SELECT 'urn:lg:tpch:container:c' || c_custkey AS urn FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'urn:lg:tpch:container:s' || s_suppkey FROM supplier WHERE s_acctbal < 0", "acctbal", "lt", 0)
+_property("props_exists", "SELECT 'urn:lg:tpch:dataset:p' || p_partkey AS urn FROM part", "retailprice", "exists")
+_property("props_not_exists", "SELECT 'urn:lg:tpch:domain:' || r_regionkey AS urn FROM region UNION ALL SELECT 'urn:lg:tpch:system:' || n_nationkey FROM nation UNION ALL SELECT DISTINCT 'urn:lg:tpch:dataplatform:' || p_brand FROM part UNION ALL SELECT 'urn:lg:tpch:container:c' || c_custkey FROM customer UNION ALL SELECT 'urn:lg:tpch:container:s' || s_suppkey FROM supplier UNION ALL SELECT 'urn:lg:tpch:dataset:o' || o_orderkey FROM orders UNION ALL SELECT 'urn:lg:tpch:dataset:p' || p_partkey FROM part", "quantity", "notExists")
+_property("props_in", "SELECT 'urn:lg:tpch:dataset:p' || p_partkey AS urn FROM part WHERE p_size IN (1, 7)", "size", "in", ["1", "7"])
+_property("props_not_in", "SELECT 'urn:lg:tpch:dataset:p' || p_partkey AS urn FROM part WHERE p_size NOT IN (1, 7)", "size", "notIn", ["1", "7"])
+_property("props_equals", "SELECT 'urn:lg:tpch:dataset:p' || p_partkey AS urn FROM part WHERE p_size = 10", "size", "equals", "10")
+_property("props_starts", "SELECT 'urn:lg:tpch:dataset:p' || p_partkey AS urn FROM part WHERE CAST(p_size AS VARCHAR) LIKE '1%'", "size", "startsWith", "1")
+_property("props_ends", "SELECT 'urn:lg:tpch:dataset:p' || p_partkey AS urn FROM part WHERE CAST(p_size AS VARCHAR) LIKE '%1'", "size", "endsWith", "1")
+_property("props_contains", "SELECT 'urn:lg:tpch:dataset:p' || p_partkey AS urn FROM part WHERE CAST(p_size AS VARCHAR) LIKE '%2%'", "size", "contains", "2")
+
+
+@query("SELECT urn FROM nodes WHERE LIST_HAS_ANY(tags, ['F', '1-URGENT'])", NODES)
+def tags_any(t):
+    return t.nodes.where(nodes.tag_filter("any", ["F", "1-URGENT"])).select("urn")
+
+
+@query("SELECT urn FROM nodes WHERE LIST_HAS_ALL(tags, ['F', '1-URGENT'])", NODES)
+def tags_all(t):
+    return t.nodes.where(nodes.tag_filter("all", ["F", "1-URGENT"])).select("urn")
+
+
+@query("SELECT entity_type, COUNT(*) AS n FROM nodes WHERE NOT LIST_HAS_ANY(tags, ['F', 'R']) GROUP BY 1", NODES)
+def tags_none(t):
+    return t.nodes.where(nodes.tag_filter("none", ["F", "R"])).groupBy("entity_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT urn FROM nodes WHERE LOWER(display_name) LIKE 'order-1%'", NODES)
+def name_filter(t):
+    return t.nodes.where(nodes.name_filter("startsWith", "ORDER-1")).select("urn")
+
+
+@query("SELECT n.urn, COUNT(c.child_urn) AS child_count FROM nodes n LEFT JOIN containment c ON c.parent_urn = n.urn WHERE n.level < 3 GROUP BY 1", NODES, ANC)
+def child_counts(t):
+    return nodes.child_counts(t.nodes.where("level < 3"), t.containment).select("urn", "child_count")
+
+
+@query("SELECT DISTINCT UNNEST(tags) AS value FROM nodes ORDER BY 1 LIMIT 100", NODES)
+def distinct_tags(t):
+    return nodes.distinct_values(t.nodes, "tags")
+
+
+@query("SELECT tag, COUNT(*) AS n, STRING_AGG(DISTINCT entity_type, ',' ORDER BY entity_type) AS entity_types FROM (SELECT entity_type, UNNEST(tags) AS tag FROM nodes) GROUP BY 1", NODES)
+def tag_stats(t):
+    return nodes.tag_stats(t.nodes)
+
+
+@query("WITH x AS (SELECT entity_type, display_name, ROW_NUMBER() OVER (PARTITION BY entity_type ORDER BY display_name) AS r FROM (SELECT DISTINCT entity_type, display_name FROM nodes)) SELECT n.entity_type, n.n, s.samples FROM (SELECT entity_type, COUNT(*) AS n FROM nodes GROUP BY 1) n JOIN (SELECT entity_type, STRING_AGG(display_name, ',' ORDER BY r) AS samples FROM x WHERE r <= 3 GROUP BY 1) s USING (entity_type)", NODES)
+def schema_stats(t):
+    return graph.schema_stats(t.nodes)
+
+
+@query("SELECT urn FROM nodes WHERE level = 3 AND (display_name, urn) > ('b', '') ORDER BY display_name, urn LIMIT 50", NODES)
+def keyset_page(t):
+    return nodes.keyset_page(t.nodes.where("level = 3"), ("b", ""), 50).select("urn")
+
+
+@query("SELECT id FROM edges WHERE source_urn = 'urn:lg:tpch:container:s1'", EDGES)
+def edges_from(t):
+    return t.edges.where(nodes.edge_filter(sources=[SUPPLIER])).select("id")
+
+
+@query("SELECT id FROM edges WHERE source_urn = 'urn:lg:tpch:dataset:p1' OR target_urn = 'urn:lg:tpch:dataset:p1'", EDGES)
+def edges_any_end(t):
+    return t.edges.where(nodes.edge_filter(ends=[PART])).select("id")
+
+
+@query("SELECT id, confidence FROM edges WHERE edge_type = 'FLOWS_TO' AND confidence >= 0.99", EDGES)
+def edges_confident(t):
+    return t.edges.where(nodes.edge_filter(types=["FLOWS_TO"], min_confidence=0.99)).select("id", "confidence")
+
+
+@query("SELECT e.id FROM edges e JOIN nodes a ON a.urn = e.source_urn AND a.level = 3 JOIN nodes b ON b.urn = e.target_urn AND b.level = 3", NODES, EDGES)
+def edges_between(t):
+    at = t.nodes.where("level = 3")
+    return nodes.edges_between(t.edges, at, at).select("id")
+
+
+@query("SELECT n.urn, n.display_name FROM nodes n JOIN containment c ON c.child_urn = n.urn AND c.parent_urn = 'urn:lg:tpch:system:1' ORDER BY 2, 1 LIMIT 20", NODES, ANC)
+def children_page(t):
+    return nodes.query(hierarchy.children(t.nodes, t.containment, NATION), limit=20).select("urn", "display_name")
+
+
+@query("SELECT parent_urn, r AS pos, child_urn FROM (SELECT c.*, CAST(ROW_NUMBER() OVER (PARTITION BY parent_urn ORDER BY display_name, child_urn) AS INTEGER) AS r FROM containment c JOIN nodes n ON n.urn = c.child_urn) WHERE r <= 2", NODES, ANC)
+def first_children(t):
+    return hierarchy.first_children(t.nodes, t.containment, 2)
+
+
+@query("SELECT child_urn AS urn, parent_urn FROM containment", ANC)
+def parents(t):
+    return hierarchy.parents(t.containment)
+
+
+@query("SELECT COUNT(*) FILTER (entity_type = 'domain') AS root_count, COUNT(*) FILTER (entity_type <> 'domain') AS orphan_count FROM nodes WHERE urn NOT IN (SELECT child_urn FROM containment)", NODES, ANC)
+def root_orphan_counts(t):
+    return hierarchy.root_counts(t.nodes, t.containment, ["domain"])
+
+
+@query("SELECT dist, COUNT(*) AS n FROM anc GROUP BY 1", ANC)
+def closure_depth_hist(t):
+    return t.closure.groupBy("dist").agg(F.count("*").alias("n"))
+
+
+@query("SELECT urn, STRING_AGG(ancestor_urn, '>' ORDER BY dist) AS chain FROM anc GROUP BY 1", ANC)
+def ancestor_chains(t):
+    return hierarchy.chains(t.closure)
+
+
+@query("SELECT a.ancestor_urn AS urn, a.dist, n.entity_type, n.display_name FROM anc a JOIN nodes n ON n.urn = a.ancestor_urn WHERE a.urn = 'urn:lg:tpch:dataset:o1'", NODES, ANC)
+def ordered_ancestors(t):
+    return hierarchy.ordered_ancestors(t.closure, t.nodes, ORDER)
+
+
+@query("SELECT urn, dist FROM anc WHERE ancestor_urn = 'urn:lg:tpch:system:1' AND dist <= 2", ANC)
+def descendants(t):
+    return hierarchy.descendants(t.closure, NATION, 2)
+
+
+@query("SELECT n.urn, n.entity_type, n.display_name FROM nodes n JOIN anc a ON a.urn = n.urn AND a.ancestor_urn = 'urn:lg:tpch:domain:1' WHERE n.level = 3", NODES, ANC)
+def descendants_at_level(t):
+    return hierarchy.descendants_at_level(t.closure, t.nodes, DOMAIN, 3)
+
+
+@query("SELECT n.urn, COALESCE((SELECT MIN(a.ancestor_urn) FROM anc a JOIN nodes m ON m.urn = a.ancestor_urn AND m.level = 2 WHERE a.urn = n.urn), n.urn) AS anchor FROM nodes n", NODES, ANC)
+def anchor_at_level(t):
+    return hierarchy.anchors_at_level(t.closure, t.nodes, 2)
+
+
+@query("SELECT n.urn, CASE WHEN n.level <= 1 THEN n.urn ELSE COALESCE((SELECT ARG_MIN(a.ancestor_urn, a.dist) FROM anc a JOIN nodes m ON m.urn = a.ancestor_urn AND m.level <= 1 WHERE a.urn = n.urn), n.urn) END AS anchor FROM nodes n", NODES, ANC)
+def anchor_at_granularity(t):
+    return hierarchy.anchors_at_granularity(t.closure, t.nodes, 1)
+
+
+@query("SELECT c.parent_urn AS child_urn, c.child_urn AS new_parent_urn, TRUE AS closes_cycle FROM containment c", ANC)
+def cycle_guard(t):
+    """Moving every parent into its own child: all of them would close a cycle."""
+    return hierarchy.closing_moves(t.closure, t.containment.select(F.col("parent_urn").alias("child_urn"), F.col("child_urn").alias("new_parent_urn")))
+
+
+def _walk(side: str, start: str, depth: int) -> str:
+    a, b = ("source_urn", "target_urn") if side == "downstream" else ("target_urn", "source_urn")
+    return f"w AS (SELECT '{start}' AS urn, 0 AS depth UNION SELECT e.{b}, w.depth + 1 FROM w JOIN edges e ON e.{a} = w.urn WHERE w.depth < {depth})"
+
+
+@query(f"{_walk('downstream', SUPPLIER, 3)} SELECT urn, MIN(depth) AS depth FROM w GROUP BY 1 HAVING MIN(depth) > 0", EDGES)
+def downstream_d3(t):
+    return traversal.reach(t.edges, t.urns(SUPPLIER), "downstream", 3)
+
+
+@query(f"{_walk('upstream', ORDER, 20)} SELECT urn, MIN(depth) AS depth FROM w GROUP BY 1 HAVING MIN(depth) > 0", EDGES)
+def upstream_d20(t):
+    return traversal.reach(t.edges, t.urns(ORDER), "upstream", 20)
+
+
+@query(f"{_walk('downstream', PART, 2)}, u AS (SELECT source_urn AS urn FROM edges WHERE target_urn = '{PART}') SELECT urn, BOOL_OR(up) AS upstream, BOOL_OR(NOT up) AS downstream FROM (SELECT urn, TRUE AS up FROM u UNION ALL SELECT urn, FALSE FROM w WHERE depth > 0) GROUP BY 1", EDGES)
+def full_lineage(t):
+    return traversal.full_lineage(t.edges, t.urns(PART), 2)
+
+
+@query(f"{_walk('downstream', SUPPLIER, 2)} SELECT id FROM edges WHERE source_urn IN (SELECT urn FROM w) AND target_urn IN (SELECT urn FROM w)", EDGES)
+def downstream_subgraph(t):
+    start = t.urns(SUPPLIER)
+    return traversal.subgraph(t.edges, traversal.reach(t.edges, start, "downstream", 2).select("urn").union(start)).select("id")
+
+
+@query(f"{_walk('downstream', SUPPLIER, 2)} SELECT id FROM edges WHERE source_urn IN (SELECT urn FROM w)", EDGES)
+def transitive_edges(t):
+    return traversal.incident_edges(t.edges, t.urns(SUPPLIER), "downstream", 2).select("id")
+
+
+@query(
+    "k AS (SELECT 'urn:lg:tpch:container:c1' AS urn UNION SELECT child_urn FROM containment WHERE parent_urn = 'urn:lg:tpch:container:c1'), "
+    "h1 AS (SELECT urn, MAX(u) AS u FROM (SELECT source_urn AS urn, 1 AS u FROM edges WHERE target_urn IN (SELECT urn FROM k) UNION ALL SELECT target_urn, 0 FROM edges WHERE source_urn IN (SELECT urn FROM k)) WHERE urn NOT IN (SELECT urn FROM k) GROUP BY 1), "
+    "h2 AS (SELECT urn, MAX(u) AS u FROM (SELECT source_urn AS urn, 1 AS u FROM edges WHERE target_urn IN (SELECT urn FROM h1) UNION ALL SELECT target_urn, 0 FROM edges WHERE source_urn IN (SELECT urn FROM h1)) WHERE urn NOT IN (SELECT urn FROM k) AND urn NOT IN (SELECT urn FROM h1) GROUP BY 1) "
+    "SELECT urn, 1 AS depth, CASE u WHEN 1 THEN 'upstream' ELSE 'downstream' END AS side FROM h1 UNION ALL SELECT urn, 2, CASE u WHEN 1 THEN 'upstream' ELSE 'downstream' END FROM h2",
+    EDGES,
+    ANC,
+)
+def trace_both(t):
+    return traversal.trace_both(t.edges, t.containment, t.urns(CUSTOMER), 2)
+
+
+@query("SELECT e.id, e.edge_type, n.urn AS other_urn, n.display_name FROM edges e JOIN nodes n ON n.urn = CASE e.source_urn WHEN 'urn:lg:tpch:dataset:o1' THEN e.target_urn ELSE e.source_urn END WHERE 'urn:lg:tpch:dataset:o1' IN (e.source_urn, e.target_urn)", NODES, EDGES)
+def neighbourhood(t):
+    return traversal.neighbourhood(t.edges, t.nodes, ORDER)
+
+
+@query("SELECT source_urn, target_urn, weight, edge_types FROM pairs", PAIRS)
+def rollup_all(t):
+    return t.pairs
+
+
+@query("SELECT a.level AS source_level, b.level AS target_level, COUNT(*) AS n, CAST(SUM(weight) AS BIGINT) AS weight FROM pairs p JOIN nodes a ON a.urn = p.source_urn JOIN nodes b ON b.urn = p.target_urn GROUP BY 1, 2", NODES, PAIRS)
+def rollup_by_level(t):
+    at = lambda side: t.nodes.select(F.col("urn").alias(f"{side}_urn"), F.col("level").alias(f"{side}_level"))
+    return t.pairs.join(at("source"), "source_urn").join(at("target"), "target_urn").groupBy("source_level", "target_level").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+
+
+@query("SELECT source_urn, target_urn, weight FROM pairs WHERE source_urn = 'urn:lg:tpch:domain:1'", PAIRS)
+def rollup_between(t):
+    return rollup.between(t.pairs, [DOMAIN]).select("source_urn", "target_urn", "weight")
+
+
+@query("SELECT source_urn, target_urn, COUNT(*) AS weight, STRING_AGG(DISTINCT edge_type, ',' ORDER BY edge_type) AS edge_types FROM contrib WHERE edge_type <> 'PRODUCES' GROUP BY 1, 2", PAIRS)
+def rollup_delete_delta(t):
+    return rollup.without_edges(rollup.contributions(t.edges, t.closure), t.edges.where("edge_type = 'PRODUCES'"))
+
+
+@query("SELECT source_urn, target_urn, weight, edge_types FROM pairs", PAIRS)
+def rollup_add_delta(t):
+    old = t.edges.where("edge_type <> 'DERIVED_FROM'")
+    return rollup.with_edges(rollup.contributions(old, t.closure), t.edges.where("edge_type <> 'PRODUCES'"), t.closure)
+
+
+@query("g AS (SELECT n.urn, COALESCE(a.ancestor_urn, n.urn) AS anchor FROM nodes n LEFT JOIN (SELECT a.* FROM anc a JOIN nodes m ON m.urn = a.ancestor_urn AND m.level = 1) a ON a.urn = n.urn AND n.level > 1) SELECT s.anchor AS source_urn, x.anchor AS target_urn, COUNT(*) AS n, LEAST(1.0, COUNT(*) / 5.0)::DOUBLE AS confidence FROM edges e JOIN g s ON s.urn = e.source_urn JOIN g x ON x.urn = e.target_urn WHERE s.anchor <> x.anchor GROUP BY 1, 2", NODES, EDGES, ANC)
+def project_granularity(t):
+    return rollup.at_granularity(t.edges, t.closure, t.nodes, 1)
+
+
+@query("v AS (SELECT n.urn, COALESCE((SELECT ARG_MAX(a.ancestor_urn, a.dist) FROM anc a WHERE a.urn = n.urn AND a.ancestor_urn NOT LIKE 'urn:lg:tpch:domain:%'), n.urn) AS anchor FROM nodes n) SELECT s.anchor AS source_urn, x.anchor AS target_urn, COUNT(*) AS n, STRING_AGG(DISTINCT edge_type, ',' ORDER BY edge_type) AS edge_types, MAX(COALESCE(confidence, 1.0))::DOUBLE AS confidence, COUNT(*) > 1 AS bundled FROM edges e JOIN v s ON s.urn = e.source_urn JOIN v x ON x.urn = e.target_urn WHERE s.anchor <> x.anchor GROUP BY 1, 2", NODES, EDGES, ANC)
+def projected_bundles(t):
+    """What is seen with only the domains expanded."""
+    return rollup.bundles(t.edges, rollup.visible_anchors(t.closure, t.nodes, t.nodes.where("entity_type = 'domain'")))
+
+
+@query("own AS (SELECT p.* FROM pairs p JOIN nodes a ON a.urn = p.source_urn AND a.level = 3 JOIN nodes b ON b.urn = p.target_urn AND b.level = 3), s AS (SELECT 'urn:lg:tpch:dataset:o1' AS urn), u1 AS (SELECT DISTINCT source_urn AS urn FROM own WHERE target_urn IN (SELECT urn FROM s) AND source_urn NOT IN (SELECT urn FROM s)), d1 AS (SELECT DISTINCT target_urn AS urn FROM own WHERE source_urn IN (SELECT urn FROM s) AND target_urn NOT IN (SELECT urn FROM s UNION ALL SELECT urn FROM u1)), u2 AS (SELECT DISTINCT source_urn AS urn FROM own WHERE target_urn IN (SELECT urn FROM u1) AND source_urn NOT IN (SELECT urn FROM s UNION ALL SELECT urn FROM u1 UNION ALL SELECT urn FROM d1)), d2 AS (SELECT DISTINCT target_urn AS urn FROM own WHERE source_urn IN (SELECT urn FROM d1) AND target_urn NOT IN (SELECT urn FROM s UNION ALL SELECT urn FROM u1 UNION ALL SELECT urn FROM d1 UNION ALL SELECT urn FROM u2)) SELECT urn, 'start' AS side, 0 AS depth FROM s UNION ALL SELECT urn, 'upstream', 1 FROM u1 UNION ALL SELECT urn, 'downstream', 1 FROM d1 UNION ALL SELECT urn, 'upstream', 2 FROM u2 UNION ALL SELECT urn, 'downstream', 2 FROM d2", NODES, PAIRS)
+def trace_level_dataset(t):
+    return traversal.trace_at_level(t.pairs, t.closure, t.nodes, ORDER, 3, 2, 2)
+
+
+@query("SELECT DISTINCT p.source_urn, p.target_urn FROM pairs p JOIN anc a ON a.urn = p.source_urn AND a.ancestor_urn = 'urn:lg:tpch:dataplatform:Brand#11' JOIN nodes n ON n.urn = p.source_urn AND n.level = 3 JOIN anc b ON b.urn = p.target_urn AND b.ancestor_urn = 'urn:lg:tpch:domain:1' JOIN nodes m ON m.urn = p.target_urn AND m.level = 3", NODES, ANC, PAIRS)
+def expand_pair(t):
+    return traversal.expand_pair(t.pairs, t.closure, t.nodes, PLATFORM, DOMAIN, 3)
+
+
+@query("x AS (SELECT p.source_urn, p.target_urn FROM pairs p JOIN nodes a ON a.urn = p.source_urn AND a.level = 2 JOIN nodes b ON b.urn = p.target_urn AND b.level = 2) SELECT urn, urn IN (SELECT source_urn FROM x UNION ALL SELECT target_urn FROM x) AS has_lineage FROM nodes WHERE level = 2", NODES, PAIRS)
+def has_lineage_at_level(t):
+    return traversal.has_lineage_at_level(t.pairs, t.nodes, 2)
+
+
+@query("SELECT a.entity_type AS parent_type, b.entity_type AS child_type, COUNT(*) AS n FROM containment c JOIN nodes a ON a.urn = c.parent_urn JOIN nodes b ON b.urn = c.child_urn GROUP BY 1, 2", NODES, ANC)
+def type_hierarchy(t):
+    return ontology.type_hierarchy(t.nodes, t.containment)
+
+
+@query("SELECT COUNT(DISTINCT event_type) FILTER (event_type IN ('view', 'click')) AS covered, COUNT(DISTINCT event_type) FILTER (event_type NOT IN ('view', 'click')) AS uncovered, CAST(1 AS BIGINT) AS extra, ROUND(100.0 * COUNT(DISTINCT event_type) FILTER (event_type IN ('view', 'click')) / COUNT(DISTINCT event_type), 1)::DOUBLE AS percent FROM events")
+def ontology_coverage(t):
+    known = t.spark.createDataFrame([("view",), ("click",), ("no such type",)], "type_id string")
+    return ontology.coverage(t.read("events").select(F.col("event_type").alias("type_id")), known)
+
+
+@query("SELECT * FROM (VALUES ('column', 'added'), ('domain', 'removed'), ('report', 'removed')) v(type_id, change)")
+def ontology_impact(t):
+    old = t.spark.createDataFrame([("domain",), ("report",), ("dataset",)], "type_id string")
+    new = t.spark.createDataFrame([("dataset",), ("column",)], "type_id string")
+    return ontology.impact(old, new)
+
+
+@query("SELECT * FROM (VALUES ('DATASET_VIEW', 'dataset'), ('xyz', NULL)) v(type_id, suggestion)")
+def ontology_drift(t):
+    return ontology.drift(t.spark.createDataFrame([("DATASET_VIEW",), ("xyz",), ("Column",)], "type_id string"), ontology.tables(t.spark)[0])
+
+
+@query("SELECT type_id, inner_id, dist FROM (WITH RECURSIVE s(a, b) AS (VALUES ('domain', 'system'), ('system', 'container'), ('dataPlatform', 'dataset'), ('container', 'dataset'), ('dataset', 'column')), c AS (SELECT a AS type_id, b AS inner_id, 1 AS dist FROM s UNION ALL SELECT c.type_id, s.b, c.dist + 1 FROM c JOIN s ON s.a = c.inner_id) SELECT * FROM c)")
+def type_closure(t):
+    return ontology.type_closure(ontology.tables(t.spark)[0])
+
+
+@query("SELECT edge_type, error, COUNT(*) AS n FROM (SELECT edge_type, CASE WHEN edge_type = 'DERIVED_FROM' THEN 'source not allowed' END AS error FROM edges) GROUP BY 1, 2", EDGES)
+def edge_checks(t):
+    """All edges against an ontology in which only containers are a source of DERIVED_FROM."""
+    relations = t.spark.createDataFrame([(a, b, c, ["container"] if a == "DERIVED_FROM" else d, e) for a, b, c, d, e in ontology.REL_TYPES], ontology.RELATION)
+    return ontology.check_edges(t.edges, t.nodes, relations).groupBy("edge_type", "error").agg(F.count("*").alias("n"))
+
+
+_ASSIGNED = "inst AS (SELECT urn, 'raw' AS layer FROM nodes WHERE REGEXP_MATCHES(urn, '^urn:lg:tpch:container:s[0-9]*[05]$') UNION ALL SELECT 'urn:lg:tpch:domain:2', 'core'), self AS (SELECT urn, ancestor_urn, dist FROM anc UNION ALL SELECT urn, urn, 0 FROM nodes), own AS (SELECT s.urn, ARG_MIN(i.layer, s.dist) AS given, MIN(s.dist) AS dist FROM self s JOIN inst i ON i.urn = s.ancestor_urn GROUP BY 1), top AS (SELECT urn, ARG_MAX(ancestor_urn, dist) AS root FROM self GROUP BY 1), assigned AS (SELECT t.urn, COALESCE(o.given, CASE WHEN t.root = 'urn:lg:tpch:domain:3' THEN 'mart' WHEN t.root LIKE 'urn:lg:tpch:domain:%' THEN 'core' ELSE 'parts' END) AS layer, 1.0::DOUBLE AS confidence, CASE WHEN o.given IS NOT NULL THEN o.dist > 0 ELSE t.urn <> t.root END AS inherited FROM top t LEFT JOIN own o ON o.urn = t.urn)"
+
+
+@query(f"{_ASSIGNED} SELECT * FROM assigned", NODES, ANC)
+def assign_layers(t):
+    return layers.assign(t.nodes, t.closure, RULES, t.instances, "core")
+
+
+@query(f"{_ASSIGNED} SELECT a.urn, a.layer FROM assigned a LEFT JOIN containment c ON c.child_urn = a.urn LEFT JOIN assigned p ON p.urn = c.parent_urn WHERE p.layer IS NULL OR p.layer <> a.layer", NODES, ANC)
+def visual_roots(t):
+    return layers.visual_roots(layers.assign(t.nodes, t.closure, RULES, t.instances, "core"), t.containment)
+
+
+@query("SELECT a.urn, a.ancestor_urn AS other_urn FROM anc a WHERE REGEXP_MATCHES(a.urn, '^urn:lg:tpch:container:s[0-9]*[05]$') AND a.ancestor_urn = 'urn:lg:tpch:domain:2'", ANC)
+def assignment_conflicts(t):
+    return layers.conflicts(t.instances, t.closure)
+
+
+@query("SELECT COALESCE(lang, 'graph') AS value, COUNT(*) AS n FROM documents GROUP BY 1")
+def view_type_facet(t):
+    return catalog.facet(t.views, F.coalesce("view_type", F.lit("graph")))
+
+
+_FAVOURITES = "fav AS (SELECT DISTINCT event_id % (SELECT COUNT(*) FROM documents) AS view_id, user_id FROM events WHERE event_type = 'view')"
+
+
+@query(f"{_FAVOURITES} SELECT view_id, COUNT(*) AS n FROM fav JOIN documents ON doc_id = view_id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def popular_views(t):
+    n = t.views.count()
+    favourites = t.read("events").where("event_type = 'view'").select((F.col("event_id") % n).alias("view_id"), "user_id")
+    return catalog.popular(t.views, favourites, 20)
+
+
+@query("SELECT event_type, ARG_MAX(event_id, ts) AS event_id FROM events GROUP BY 1")
+def latest_version(t):
+    return catalog.latest(t.read("events").select("event_type", "event_id", "ts"), "event_type", "ts").select("event_type", "event_id")
+
+
+@query("SELECT p_partkey FROM (SELECT p_partkey, ROW_NUMBER() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part) WHERE r > 1")
+def duplicate_items(t):
+    return catalog.duplicates(t.read("part").select("p_partkey", "p_name"), ["p_name"], ["p_partkey"]).select("p_partkey")
+
+
+@query(r"s AS (SELECT c_custkey, 3 * CASE WHEN LOWER(c_name) = 'building' THEN 100 WHEN STARTS_WITH(LOWER(c_name), 'building') THEN 60 WHEN REGEXP_MATCHES(LOWER(c_name), '[\s_./-]building') THEN 40 WHEN CONTAINS(LOWER(c_name), 'building') THEN 20 ELSE 0 END + CASE WHEN LOWER(c_mktsegment) = 'building' THEN 100 WHEN STARTS_WITH(LOWER(c_mktsegment), 'building') THEN 60 WHEN CONTAINS(LOWER(c_mktsegment), 'building') THEN 20 ELSE 0 END AS score FROM customer) SELECT c_custkey, CAST(score AS BIGINT) AS score FROM s WHERE score > 0 ORDER BY 2 DESC, 1 LIMIT 25")
+def search_scored(t):
+    return catalog.search_scored(t.read("customer"), "building", {"c_name": 3, "c_mktsegment": 1}, "c_custkey", 25)
+
+
+@query("SELECT c_mktsegment, pos, c_custkey FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS pos FROM customer) WHERE pos <= 8")
+def search_top_per_category(t):
+    return catalog.top_per(t.read("customer"), "c_mktsegment", [F.desc("c_acctbal"), "c_custkey"], 8).select("c_mktsegment", "pos", "c_custkey")
+
+
+_GRANTS = "gr(role, permission) AS (VALUES ('view', 'graph:read'), ('click', 'graph:read'), ('click', 'graph:write')), perms AS (SELECT DISTINCT e.user_id, e.user_id % 3 AS scope_id, permission FROM events e JOIN gr ON gr.role = e.event_type)"
+
+
+def _permissions(t: Tables, *drop: str) -> DataFrame:
+    e = t.read("events")
+    direct = e.where("event_id % 2 = 0").select(F.lit("user").alias("subject_type"), F.col("user_id").alias("subject_id"), F.col("event_type").alias("role"), (F.col("user_id") % 3).alias("scope_id"))
+    via = e.where("event_id % 2 = 1").select(F.lit("group"), F.col("user_id") + 1_000_000, "event_type", F.col("user_id") % 3)
+    members = e.select((F.col("user_id") + 1_000_000).alias("group_id"), "user_id").distinct()
+    granted = t.spark.createDataFrame([g for g in [("view", "graph:read"), ("click", "graph:read"), ("click", "graph:write")] if g[0] not in drop], "role string, permission string")
+    return catalog.permissions(direct.union(via), members, granted)
+
+
+@query(f"{_GRANTS} SELECT * FROM perms")
+def effective_permissions(t):
+    return _permissions(t)
+
+
+@query(f"{_GRANTS}, after AS (SELECT DISTINCT e.user_id, e.user_id % 3 AS scope_id, permission FROM events e JOIN gr ON gr.role = e.event_type WHERE e.event_type <> 'click') SELECT p.*, 'lost' AS change FROM perms p ANTI JOIN after USING (user_id, scope_id, permission)")
+def role_impact(t):
+    return catalog.permission_changes(_permissions(t), _permissions(t, "click"))
+
+
+@query("SELECT o_orderpriority, value FROM (SELECT o_orderpriority, o_totalprice AS value, ROW_NUMBER() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS i, COUNT(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) WHERE i = LEAST(CAST(FLOOR(n * 95 / 100) AS BIGINT), n - 1)")
+def latency_percentile(t):
+    return catalog.nearest_rank(t.read("orders"), "o_orderpriority", "o_totalprice", 95)
+
+
+_JOBS = "je AS (SELECT * FROM (SELECT user_id AS job_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence, ts, event_type AS type, value, event_id FROM events) WHERE event_id % 7 <> 3)"
+
+
+@query(f"{_JOBS} SELECT job_id, sequence, before AS resync_from FROM (SELECT *, LAG(sequence) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS before FROM je) WHERE sequence > before + 1")
+def event_gaps(t):
+    return ev.gaps(t.jobs)
+
+
+@query(f"{_JOBS} SELECT job_id, sequence FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY job_id ORDER BY sequence DESC) AS r FROM je) WHERE r <= 20")
+def event_retention(t):
+    return ev.retained(t.jobs, 20).select("job_id", "sequence")
+
+
+@query(f"{_JOBS} SELECT job_id, MAX(sequence) AS sequence, ARG_MAX(type, sequence) AS type, ARG_MAX(value, sequence) AS value FROM je GROUP BY 1 HAVING ARG_MAX(type, sequence) <> 'purchase'")
+def live_state(t):
+    return ev.live_state(t.jobs, "purchase")
+
+
+@query(f"{_JOBS} SELECT job_id, type, event_id FROM (SELECT *, LAG(ts) OVER (PARTITION BY job_id, type ORDER BY ts, event_id) AS b FROM je) WHERE b IS NULL OR CAST(FLOOR(EPOCH(ts)) AS BIGINT) - CAST(FLOOR(EPOCH(b)) AS BIGINT) > 3600")
+def idempotent_triggers(t):
+    return ev.first_triggers(t.jobs, 60)
+
+
+@query("SELECT DATE_TRUNC('day', ts) AS start_ts, event_type AS type, COUNT(*) AS n, ROUND(SUM(value), 4) AS total FROM events WHERE event_id % 7 <> 3 GROUP BY 1, 2")
+def event_windows(t):
+    return ev.tumbling(t.jobs, "1 day")
+
+
+@query(f"{_JOBS}, s AS (SELECT *, SUM(n) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN ts - LAG(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM je)) SELECT job_id, MIN(ts) AS start_ts, COUNT(*) AS n FROM s GROUP BY job_id, g")
+def event_sessions(t):
+    return ev.sessions(t.jobs, "30 minutes")
+
+
+@query()
+def gcra_fold(t):
+    return ev.rate_limited(t.jobs, 3_600_000, 7_200_000)
+
+
+@query("SELECT urn, CASE WHEN urn LIKE 'urn:lg:tpch:domain:%' THEN 'domain' ELSE 'system' END AS entity_type, SPLIT_PART(urn, ':', 5) AS slug FROM nodes WHERE level < 2 AND entity_type <> 'dataPlatform'", NODES)
+def urn_parts(t):
+    at = t.nodes.where("level < 2 and entity_type <> 'dataPlatform'")
+    p = scalar.parse_urn(F.col("urn"))
+    return at.select("urn", p["entity_type"].alias("entity_type"), p["slug"].alias("slug"))
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
