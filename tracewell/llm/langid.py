@@ -28,7 +28,7 @@ ORDERS = (2, 3, 4)
 HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 UNDETERMINED = "und"
 #: Bytes of text handled at once in a task.
-CHUNK = 1 << 22
+CHUNK = 1 << 19
 #: Lower-cases A-Z and turns other ASCII characters that are no letters into spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -75,10 +75,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         for batch in batches:
             raw, names = texts(batch.column("text")), np.array(batch.column("lang").to_pylist(), object)
             for name in dict.fromkeys(names):
-                data = np.frombuffer(b"".join(folded(raw[i]) for i in np.flatnonzero(names == name)), np.uint8)
-                for n in ORDERS:
-                    g, c = np.unique(grams(data, n), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array([n] * len(g), pa.int64()), pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "n", "gram", "c"])
+                own = [raw[i] for i in np.flatnonzero(names == name)]
+                for at, to in runs_by_size([len(x) for x in own], CHUNK):
+                    data = np.frombuffer(b"".join(map(folded, own[at:to])), np.uint8)
+                    for n in ORDERS:
+                        g, c = np.unique(grams(data, n), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array([n] * len(g), pa.int64()), pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "n", "gram", "c"])
 
     counts = sample.select("lang", "text").mapInArrow(count, "lang string, n long, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     total = counts.groupBy("lang", "n").agg(F.sum("c").alias("t"))
