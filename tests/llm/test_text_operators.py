@@ -130,7 +130,10 @@ def test_bpe_replay_of_odd_words():
     ranks = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).ranks
     enc = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
     words = ["", "a", "aaaaaaaaaaaaa", "  " * 50, "theretherethere", "ééé日本", "x" * 3000, "-=" * 400, "\U0001f389" * 9]
-    assert bpe.replay([w.encode() for w in words], ranks) == [enc.encode_ordinary(w) for w in words]
+    want = [enc.encode_ordinary(w) for w in words]
+    assert bpe.replay([w.encode() for w in words], ranks) == want
+    flat, sizes = bpe.Merges(ranks).replay([w.encode() for w in words[1:]])
+    assert flat.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want[1:]]
 
 
 def simple_scan(text, items):

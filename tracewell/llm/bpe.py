@@ -1,11 +1,11 @@
 """Byte-level BPE by corpus merge replay, and decoding.
 
 The pretokens of a corpus repeat, so merges are applied to the distinct ones, all at once. Their
-symbols lie in one flat array with links to the neighbours; an inverted index maps each mergeable
-pair to the positions where it stands, as a queue ordered by merge rank and then position. Taking
-the first entry, merging there and entering the at most two new pairs replays every merge in rank
-order and touches only the neighbours of a merge. Within a pretoken this is the order of the
-tiktoken library (lowest rank first, leftmost among equals), also when a merge opens a lower rank.
+symbols lie in one flat array; an index parallel to it holds, for every position where a mergeable
+pair stands, the pair's rank. Merges go in waves: each pretoken's lowest-ranked pair (leftmost among
+equals) is merged, and only the pairs with its two neighbours are looked up anew. Within a pretoken
+this is the order of the tiktoken library, also when a merge opens a lower rank. A pretoken of over
+LONG bytes would need as many waves; it goes by a queue of its pairs, ordered by rank and position.
 
 Merges never cross pretokens, so a replay may cover any set of them. Here each Spark task replays
 the distinct pretokens of its own rows, batch by batch, and keeps what it knows in a cache of
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
@@ -28,8 +29,10 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 from tracewell.llm.common import append_arrow, runs_by_size
 
 #: Bounds the memory of a task's cache; a pretoken that is not in it is replayed again.
-CACHED = 300_000
-CHUNK = 1 << 23
+CACHED = 200_000
+CHUNK = 1 << 21
+LONG = 64
+NONE = np.int32(2**31 - 1)
 
 
 @dataclass(frozen=True)
@@ -90,12 +93,78 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
     return out
 
 
+class Merges:
+    """The ranks of all pairs of tokens that make a token, as sorted arrays."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = {(ranks[t[:i]] << 32) | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
+        self.of_byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(left), NONE)
+        want = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+        return np.where(self.keys[at] == want, self.values[at], NONE)
+
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The token ids of all words (none of them empty) one after the other, and each word's number of ids."""
+        token = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        if (token < 0).any():
+            raise KeyError("a byte has no rank of its own")
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        index = np.full(len(token), NONE)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        index[inner] = self.ranks_of(token[inner], token[inner + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(token):
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            sizes = np.diff(starts, append=len(word))
+            lowest = np.minimum.reduceat(index, starts)
+            over = np.repeat(lowest == NONE, sizes)
+            if over.any():
+                done.append((word[over], token[over]))
+                open_ = ~over
+                token, word, index = token[open_], word[open_], index[open_]
+                sizes, lowest = sizes[lowest != NONE], lowest[lowest != NONE]
+                if not len(token):
+                    break
+            at = np.flatnonzero(index == np.repeat(lowest, sizes))
+            at = at[np.diff(word[at], prepend=-1) != 0]  # the leftmost of each word
+            token[at] = index[at]
+            stays = np.ones(len(token), bool)
+            stays[at + 1] = False
+            at = at - np.arange(len(at))  # where the merged symbols are once the right halves have gone
+            token, word, index = token[stays], word[stays], index[stays]
+            for i in (at, at - 1):  # the merged symbol's pairs with its neighbours
+                i = i[(i >= 0) & (i + 1 < len(token))]
+                inside = word[i] == word[i + 1]
+                index[i[inside]] = self.ranks_of(token[i[inside]], token[i[inside] + 1])
+            ends = at[(at + 1 == len(token)) | (word[np.minimum(at + 1, len(token) - 1)] != word[at])]
+            index[ends] = NONE
+        if not done:
+            return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+        word = np.concatenate([w for w, _ in done])
+        return np.concatenate([t for _, t in done])[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
+
+
 class Encoder:
     """Encodes lists of texts; knows the ids of the pretokens it has met."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.split = regex.compile(vocabulary.pattern).findall
-        self.ranks, self.known = vocabulary.ranks, {}
+        self.ranks, self.merges, self.known = vocabulary.ranks, Merges(vocabulary.ranks), {}
+
+    def learn(self, new: list[str]) -> None:
+        raw = [w.encode() for w in new]
+        short = [i for i, w in enumerate(raw) if 0 < len(w) <= LONG]
+        flat, sizes = self.merges.replay([raw[i] for i in short])
+        flat, ends = flat.tobytes(), (4 * np.cumsum(sizes)).tolist()
+        self.known.update(zip([new[i] for i in short], (flat[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        rest = [i for i, w in enumerate(raw) if not 0 < len(w) <= LONG]
+        self.known.update(zip([new[i] for i in rest], (np.array(x, np.int32).tobytes() for x in replay([raw[i] for i in rest], self.ranks)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
@@ -104,8 +173,8 @@ class Encoder:
             if len(self.known) > CACHED:
                 self.known = {}
             known = self.known
-            new = list(dict.fromkeys(w for p in pieces for w in p if w not in known))
-            known.update(zip(new, (np.array(x, np.int32).tobytes() for x in replay([w.encode() for w in new], self.ranks)), strict=True))
+            new = {w for p in pieces for w in p} - known.keys()
+            self.learn(list(new))
             out += [np.frombuffer(b"".join([known[w] for w in p]), np.int32) for p in pieces]
         return out
 
@@ -137,7 +206,12 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
         table = [token.get(i) for i in range(max(token, default=-1) + 1)]
 
         def make(batch):
-            return [pa.array([b"".join([table[i] for i in x]) if x else b"" for x in batch.column(ids).to_pylist()], pa.binary())]
+            column = batch.column(ids)
+            flat, out = column.flatten().to_numpy(), []
+            for n in pa.compute.list_value_length(column).fill_null(0).to_pylist():
+                out.append(b"".join([table[i] for i in flat[:n].tolist()]))
+                flat = flat[n:]
+            return [pa.array(out, pa.binary())]
 
         return make
 
