@@ -61,5 +61,6 @@ def kept_text(text: Column, keep: Column) -> Column:
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """docs with the repeated lines taken out of text; a null text stays null."""
     maps = materialise(keep_bitmaps(docs, doc_id, text, **limits), "keep_bitmaps").select(F.col("doc_id").alias("__doc"), F.col("keep").alias("__keep"))
+    maps = maps.hint("merge")  # bitmaps grow with the corpus: no broadcast at any size
     out = docs.join(maps, F.col(doc_id) == F.col("__doc"), "left")
     return out.withColumn(text, F.when(F.col(text).isNotNull(), kept_text(F.col(text), F.col("__keep")))).select(*docs.columns)

@@ -81,7 +81,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     maps = linededup.materialise(linededup.keep_bitmaps(docs), "keep_bitmaps")
     kept = linededup.kept_text(F.col("text"), F.col("keep"))
-    return docs.join(maps, "doc_id", "left").select("doc_id", linededup.n_lines(F.col("text")).alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), F.sha2(kept, 256).alias("kept_sha256"))
+    return docs.join(maps.hint("merge"), "doc_id", "left").select("doc_id", linededup.n_lines(F.col("text")).alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 OP4_SQL = r"""

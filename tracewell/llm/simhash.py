@@ -131,7 +131,8 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """The row of docs with the smallest doc_id of each component; rows without doc_id stay."""
     grouped = materialise(clusters(docs, doc_id, text), "clusters")
     kept = materialise(grouped.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    once = docs.join(kept.where("n = 1").select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi")
+    # The kept ids grow with the corpus, so the join is a shuffle at every size.
+    once = docs.join(kept.where("n = 1").select(F.col("doc_id").alias(doc_id)).hint("merge"), doc_id, "left_semi")
     out = once.union(docs.where(F.col(doc_id).isNull()))
     repeated = kept.where("n > 1").select(F.col("doc_id").alias(doc_id))
     return out if repeated.isEmpty() else out.union(docs.join(repeated, doc_id, "left_semi").dropDuplicates([doc_id]))
