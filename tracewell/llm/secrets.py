@@ -78,9 +78,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def ordinary_strings(text: str, spans) -> list[str]:
     """Words of eight letters or more outside of spans, and identifiers made of neighbours."""
-    for _, a, b in spans:
-        text = text[:a] + " " * (b - a) + text[b:]
-    words = re.findall(r"[A-Za-z]{3,}", text)
+    rest, at = [], 0
+    for a, b in sorted((a, b) for _, a, b in spans):
+        rest.append(text[at : max(at, a)])
+        at = max(at, b)
+    words = re.findall(r"[A-Za-z]{3,}", " ".join([*rest, text[at:]]))
     return [w for w in words if len(w) >= 8] + ["_".join(words[i : i + 3]) for i in range(0, len(words), 9)] + ["".join(w.title() for w in words[i : i + 3]) for i in range(3, len(words), 9)] + ["-".join(words[i : i + 3]).lower() for i in range(6, len(words), 9)]
 
 
@@ -127,10 +129,12 @@ def all_spans(models: Models, text: str) -> list[tuple[str, int, int]]:
     if max(map(len, text.split()), default=0) >= LEAST_CANDIDATE:
         new = [("random", m.start(), m.end()) for m in CANDIDATE.finditer(text) if looks_random(models, m[0])]
         base, at = sorted((a, b) for _, a, b in out), 0
-        for kind, a, b in new:  # both rise; base spans of different kinds may overlap, so look from the first that may reach a
-            while at < len(base) and max(y for _, y in base[at : at + 1]) <= a:
+        reach = 0  # the end of the furthest base span that starts before the candidate's end
+        for kind, a, b in new:
+            while at < len(base) and base[at][0] < b:
+                reach = max(reach, base[at][1])
                 at += 1
-            if not any(x < b and y > a for x, y in base[at:] if x < b):
+            if reach <= a:
                 out.append((kind, a, b))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
