@@ -1 +1,3 @@
-"""Named query plans."""
+"""The queries by name."""
+
+from tracewell.plans import administration, catalogue  # noqa: F401  (each registers its queries)
