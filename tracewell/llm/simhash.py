@@ -119,7 +119,12 @@ def clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Equal fingerprints meet in one row before any pair is looked at. No rows: no rows."""
     fps = materialise(fingerprints(docs, doc_id, text), "fingerprints")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    star = stars(links(distinct))
+    return components(fps, distinct, links(distinct))
+
+
+def components(fps: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of fps (doc_id, fp), from the smallest doc_id of each fp (fp, rep) and links over fp."""
+    star = stars(edges)
     rooted = distinct.join(star.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
     rooted = materialise(rooted.select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
     low = materialise(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "components")
@@ -129,7 +134,12 @@ def clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The row of docs with the smallest doc_id of each component; rows without doc_id stay."""
-    grouped = materialise(clusters(docs, doc_id, text), "clusters")
+    return keep_lowest(docs, clusters(docs, doc_id, text), doc_id)
+
+
+def keep_lowest(docs: DataFrame, clustered: DataFrame, doc_id: str) -> DataFrame:
+    """The row of docs with the smallest doc_id of each component (doc_id, component_id); rows without doc_id stay."""
+    grouped = materialise(clustered, "clusters")
     kept = materialise(grouped.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     # The kept ids grow with the corpus, so the join is a shuffle at every size.
     once = docs.join(kept.where("n = 1").select(F.col("doc_id").alias(doc_id)).hint("merge"), doc_id, "left_semi")
