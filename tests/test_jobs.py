@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from tracewell.plans import catalogue
+from tracewell.streaming import events
 from tracewell.streaming.jobs import circuit_breaker
 
 
@@ -21,3 +23,11 @@ def test_a_failed_probe_opens_again(spark):
     calls = spark.createDataFrame(rows, "job_id long, event_id long, s long, bad boolean").withColumn("ts", F.timestamp_seconds("s"))
     out = sorted(circuit_breaker(calls, F.col("bad")).collect(), key=lambda r: r.event_id)
     assert [r.state for r in out] == ["closed", "closed", "closed", "probe", "open", "probe"]
+
+
+def test_folds_over_calls_see_every_event(spark, sf_dir):
+    log = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ids = sorted(r.event_id for r in log.select("event_id").collect())
+    for name in ("gcra_fold", "circuit_breaker"):
+        assert sorted(r.event_id for r in catalogue.queries()[name](spark, sf_dir).collect()) == ids
+    assert not events.gaps(events.numbered(log)).count()

@@ -13,9 +13,14 @@ GAPS = "job_id long, sequence long, resync_from long"
 
 
 def numbered(events: DataFrame) -> DataFrame:
-    """job_id, sequence, ts, type, value from an event log: users are jobs; some numbers are left out."""
+    """job_id, sequence, ts, type, value from an event log: users are jobs. No event is left out."""
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    return events.withColumn("sequence", seq).where("event_id % 7 <> 3").select(F.col("user_id").alias("job_id"), "sequence", "ts", F.col("event_type").alias("type"), "value", "event_id")
+    return events.withColumn("sequence", seq).select(F.col("user_id").alias("job_id"), "sequence", "ts", F.col("event_type").alias("type"), "value", "event_id")
+
+
+def with_gaps(numbered: DataFrame) -> DataFrame:
+    """Numbered events without a seventh of them: made-up gaps."""
+    return numbered.where("event_id % 7 <> 3")
 
 
 def gaps(events: DataFrame) -> DataFrame:
