@@ -42,6 +42,13 @@ def test_template_without_names_goes_by_recurrence(spark):
     assert out[10] == "Welcome to our site\nOther 0\nMade by us & you"  # two pages are no template
 
 
+def test_notice_on_a_small_share_of_a_large_host(spark):
+    notice = "<div><p>We moved to a new address</p></div>"
+    rows = [(i, f"http://l.org/{i}", f"<body>{notice if i < 18 else ''}<section><p>Story {i}</p></section></body>") for i in range(120)]
+    rows.append((120, "http://l.org/120", f"<body><article><p>They said:</p>{notice}</article></body>"))
+    assert texts(spark, rows) == {i: f"Story {i}" for i in range(120)} | {120: "They said:\nWe moved to a new address"}
+
+
 def test_copies_of_a_page_are_no_template(spark):
     same = "<body><article><p>Only text.</p></article></body>"
     rows = [(i, f"http://c.org/{i}", same) for i in range(50)] + [(50 + i, f"http://c.org/x{i}", f"<body><article><p>Shared.</p><p>{i}</p></article></body>") for i in range(5)]

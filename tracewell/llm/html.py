@@ -7,9 +7,9 @@ the bar is higher, since copies of an article may repeat its paragraphs. What is
 (or of the body, where there is no article) is the text, without elements that are no prose by their
 tag or by a class, id or role that names what they hold.
 
-Pages that are equal count once, so a host's copies of one page don't make that page a template. A
-subtree needs a share of its host's pages, so a host has at most (subtrees of a page / share) of
-them, however many pages it has: one row per host, which is joined to the pages.
+Pages that are equal count once, so a host's copies of one page don't make that page a template.
+Outside articles a number of pages is enough, however many pages the host has, so a host's templates
+may be many: they meet the subtrees of pages by host and subtree, and a page gets those that it holds.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField
 
 from tracewell.llm.common import append_arrow, broadcast_below, materialise
 
-#: A subtree is template if in so many pages of its host, and in this share of them.
-LEAST_PAGES, LEAST_SHARE = 3, 0.2
-#: The same for subtrees inside an article.
+#: A subtree is template if in so many pages of its host, and in this share of them or MANY_PAGES.
+LEAST_PAGES, LEAST_SHARE, MANY_PAGES = 3, 0.2, 10
+#: Inside an article, if in so many pages and in this share of them.
 ARTICLE_PAGES, ARTICLE_SHARE = 10, 0.5
-#: Hosts with a template up to which the templates are broadcast.
+#: Hosts up to which their page counts are broadcast.
 BROADCAST_HOSTS = 20_000
 
 # Names of HTML.
@@ -192,13 +192,13 @@ def blocks_of(tops: list[Element]) -> list[str]:
     return blocks
 
 
-def main_text(source: str, template: set[int]) -> str:
-    """The page's main text, given the template subtrees of its host."""
+def main_text(source: str, template: set[int], outside: set[int] | frozenset = frozenset()) -> str:
+    """The page's main text, given the template subtrees of its host, and those that are template outside articles."""
     root = parse(source)
     tops: list[Element] = []
     mains: list[Element] = []
-    for e, _ in add_hashes(root) if template else ():
-        if signed(e.hash) in template:
+    for e, inside in add_hashes(root) if template or outside else ():
+        if signed(e.hash) in template or not inside and signed(e.hash) in outside:
             e.side = True
     todo = [root]
     while todo:  # the outermost articles that are no side matter
@@ -221,7 +221,8 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, template (array of subtree hashes): a row for each host that has a template.
+    """host, page (hash of its html), template and outside (hashes of the page's subtrees that are
+    template anywhere, and outside articles): a row for each different page of a host that holds any.
 
     Null urls share the host ''. Null pages have no subtree. Equal pages of a host count once."""
     rows = pages.where(F.col(html).isNotNull()).select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"), F.xxhash64(html).alias("page"))
@@ -237,11 +238,16 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     pair = lambda inside: lambda x: F.struct(F.lit(inside).alias("inside"), x.alias("subtree"))
     whole = F.array(F.struct(F.lit(None).cast("boolean").alias("inside"), F.lit(0).cast("long").alias("subtree")))  # counts the page
     each = found.select("host", "page", F.explode(F.concat(whole, F.transform("outside", pair(False)), F.transform("inside", pair(True)))).alias("s")).select("host", "page", "s.*")
-    counts = materialise(each.distinct().groupBy("host", "inside", "subtree").agg(F.count("*").alias("n")).where(F.col("inside").isNull() | (F.col("n") >= LEAST_PAGES)), "subtrees")
+    each = materialise(each.distinct(), "page_subtrees")
+    counts = materialise(each.groupBy("host", "inside", "subtree").agg(F.count("*").alias("n")).where(F.col("inside").isNull() | (F.col("n") >= LEAST_PAGES)), "subtrees")
     total = counts.where(F.col("inside").isNull()).select("host", F.col("n").alias("pages"))
     often = counts.where(F.col("inside").isNotNull()).join(broadcast_below(total, BROADCAST_HOSTS), "host")
-    bar = F.when(F.col("inside"), F.greatest(F.lit(ARTICLE_PAGES), F.ceil(F.col("pages") * ARTICLE_SHARE))).otherwise(F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("pages") * LEAST_SHARE)))
-    return materialise(often.where(F.col("n") >= bar).groupBy("host").agg(F.collect_set("subtree").alias("template")), "templates")
+    share = F.when(F.col("inside"), F.greatest(F.lit(ARTICLE_PAGES), F.ceil(F.col("pages") * ARTICLE_SHARE))).otherwise(F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("pages") * LEAST_SHARE)))
+    often = often.withColumn("anywhere", F.col("n") >= share).where(F.col("anywhere") | (~F.col("inside") & (F.col("n") >= MANY_PAGES)))
+    template = materialise(often.groupBy("host", "subtree").agg(F.max("anywhere").alias("anywhere")), "template_subtrees")
+    held = each.where(F.col("inside").isNotNull()).join(template.hint("merge"), ["host", "subtree"])
+    sets = [F.collect_set(F.when(x, F.col("subtree"))).alias(name) for x, name in ((F.col("anywhere"), "template"), (~F.col("anywhere"), "outside"))]
+    return materialise(held.groupBy("host", "page").agg(*sets), "templates")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
@@ -251,18 +257,17 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
     decoded; white space inside a block is one space; blocks are joined by \\n. Repeated rows give
     equal texts. A column of pages named like out is replaced. No rows: no rows."""
     found = templates(pages, url, html)
-    named = pages.withColumn("__host", host_of(F.col(url)))
-    met = named.join(broadcast_below(found.select(F.col("host").alias("__host"), F.col("template").alias("__template")), BROADCAST_HOSTS), "__host", "left")
+    named = pages.withColumns({"__host": host_of(F.col(url)), "__page": F.xxhash64(html)})
+    met = named.join(found.select(F.col("host").alias("__host"), F.col("page").alias("__page"), F.struct("template", "outside").alias("__template")).hint("merge"), ["__host", "__page"], "left")
 
     def start():
         def make(batch):
-            sets: dict[tuple, set] = {}
             texts = []
             for source, t in zip(batch.column(html).to_pylist(), batch.column("__template").to_pylist(), strict=True):
-                key = tuple(t or ())
-                texts.append(main_text(source, sets.setdefault(key, set(key))) if source else "")
+                t = t or {"template": (), "outside": ()}
+                texts.append(main_text(source, set(t["template"]), set(t["outside"])) if source else "")
             return [pa.array(texts, pa.string())]
 
         return make
 
-    return append_arrow(met, [StructField(out, StringType())], start).drop("__host", "__template")
+    return append_arrow(met, [StructField(out, StringType())], start).drop("__host", "__page", "__template")
