@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -17,25 +17,26 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder in spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get(CHECKPOINT_KEY, None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tracewell-")
-        spark.conf.set(CHECKPOINT_KEY, base)
+    """This application's folder in spark.checkpoint.dir; in the warehouse, which a cluster shares too,
+    where that is unset."""
+    base = spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/tracewell-{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, which cuts its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Writes df as a table in the shared folder and reads it back, which cuts its lineage. The folder
+    goes when the application ends as it should; an operator's result reads from it until then."""
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if folder not in _folders:
+        _folders.add(folder)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Deletes what this application has materialised."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+_folders: set[str] = set()
 
 
 def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
@@ -53,21 +54,49 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def append_arrow(df: DataFrame, fields: list[StructField], start: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
-    """df with more columns, made batch by batch in Python; start() runs once per task.
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df has not, case ignored."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Bytes of a column that Python handles at once.
+SLICE = 1 << 22
+
+
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose column takes about SLICE bytes (one row at least)."""
+    for at, to in runs_by_size(sizes_of(batch.column(column)), SLICE):
+        yield batch.slice(at, to - at)
+
+
+def sizes_of(array: pa.Array) -> list[int]:
+    """Bytes of each text, or elements of each list."""
+    is_list = pa.types.is_list(array.type) or pa.types.is_large_list(array.type)
+    return (pc.list_value_length(array) if is_list else pc.binary_length(array)).fill_null(0).to_pylist()
+
+
+def append_arrow(df: DataFrame, fields: list[StructField], start: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], sized: str | None = None) -> DataFrame:
+    """df with more columns, made in Python; start() runs once per task. A batch goes in slices by the
+    bytes of column sized (one of texts or lists), so that long texts don't meet in memory.
 
     Columns of df whose names clash with the new ones give way to them."""
-    names = {f.name for f in fields}
-    kept = df.select(*[quoted(c) for c in df.columns if c not in names])
-    schema = StructType([*kept.schema.fields, *fields])
+    new = {f.name for f in fields}
+    names = [c for c in df.columns if c not in new]
+    kept = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)])  # mapInArrow can't have dots in names
+    schema = StructType([*kept.schema.fields, *[StructField(f"n{i}", f.dataType) for i, f in enumerate(fields)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = None
         for batch in batches:
             make = make or start()
-            yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], names=schema.names)
+            batch = pa.RecordBatch.from_arrays(batch.columns, names=names)
+            for part in slices(batch, sized) if sized else [batch]:
+                yield pa.RecordBatch.from_arrays([*part.columns, *make(part)], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).toDF(*names, *[f.name for f in fields])
 
 
 def texts(array: pa.Array) -> list[bytes]:

@@ -40,6 +40,12 @@ def windows(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
 
 
+def items_of(benchmark: DataFrame, least_words: int, text: str = "text") -> DataFrame:
+    """The items of so many words or more."""
+    words = F.array_size(F.filter(F.split(F.col(text), r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"), lambda w: w != ""))
+    return benchmark.where(words >= least_words)
+
+
 class Scanner:
     """The automaton over all windows of a list of (item, words)."""
 
@@ -129,7 +135,7 @@ def scan_group(docs: DataFrame, group: list[tuple[str, list[bytes]]], text: str,
 
         return make
 
-    return append_arrow(docs, [StructField(f"{prefix}n_words", LongType()), StructField(f"{prefix}runs", ArrayType(RUN)), StructField(f"{prefix}items", ArrayType(StringType()))], start)
+    return append_arrow(docs, [StructField(f"{prefix}n_words", LongType()), StructField(f"{prefix}runs", ArrayType(RUN)), StructField(f"{prefix}items", ArrayType(StringType()))], start, text)
 
 
 def scan_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, prefix: str = "") -> DataFrame:

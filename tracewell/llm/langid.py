@@ -153,6 +153,6 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", prefix: st
 
         return make
 
-    out = append_arrow(df, [StructField(f"{prefix}lang_pred", StringType()), StructField(f"{prefix}score", DoubleType()), StructField(f"{prefix}n_grams", LongType())], start)
+    out = append_arrow(df, [StructField(f"{prefix}lang_pred", StringType()), StructField(f"{prefix}score", DoubleType()), StructField(f"{prefix}n_grams", LongType())], start, text)
     known = has_letter(text) & F.col(f"{prefix}lang_pred").isNotNull()
     return out.withColumns({f"{prefix}lang_pred": F.when(known, F.col(f"{prefix}lang_pred")).otherwise(UNDETERMINED), f"{prefix}score": F.when(known, F.col(f"{prefix}score")).otherwise(0.0)})

@@ -155,4 +155,4 @@ def scan(df: DataFrame, models: Models, text: str = "text", out: str = "spans")
 
         return make
 
-    return append_arrow(df, [StructField(out, ArrayType(SPAN))], start)
+    return append_arrow(df, [StructField(out, ArrayType(SPAN))], start, text)
