@@ -1,11 +1,13 @@
 """Operators on `documents` against brute-force versions, on the small tables and on odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -126,14 +128,65 @@ def test_bpe(spark, tables):
         assert (o["n_tokens"], o["ids_sha256"], o["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(r["text"] or ""))
 
 
+RANKS = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+WHOLE = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=RANKS.ranks, special_tokens={})
+
+
 def test_bpe_replay_of_odd_words():
-    ranks = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).ranks
-    enc = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    draw = random.Random(3)
     words = ["", "a", "aaaaaaaaaaaaa", "  " * 50, "theretherethere", "ééé日本", "x" * 3000, "-=" * 400, "\U0001f389" * 9]
-    want = [enc.encode_ordinary(w) for w in words]
-    assert bpe.replay([w.encode() for w in words], ranks) == want
-    flat, sizes = bpe.Merges(ranks).replay([w.encode() for w in words[1:]])
-    assert flat.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want[1:]]
+    words += ["".join(draw.choices("abcnst é", k=draw.randint(1, 40))) for _ in range(3000)]
+    want = [WHOLE.encode_ordinary(w) for w in words]
+    for replay in (bpe.replay, lambda *x: bpe.replay(*x, singly=True)):
+        flat, sizes = replay([w.encode() for w in words], RANKS)
+        assert flat.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
+
+
+def test_bpe_replay_where_a_merge_opens_a_lower_rank():
+    parts = ["a", "b", "c", "d", "bc", "abcd", "cd", "ab", "abab", "ba"]
+    draw = random.Random(5)
+    for seed in range(60):
+        order = draw.sample(parts[4:], 6)
+        ranks = {t.encode(): i for i, t in enumerate(parts[:4] + order)}
+        enc = tiktoken.Encoding(f"own{seed}", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+        words = ["".join(draw.choices("abcd", k=draw.randint(1, 12))) for _ in range(50)]
+        flat, sizes = bpe.replay([w.encode() for w in words], bpe.vocabulary(ranks, ""))
+        want = [enc.encode_ordinary(w) for w in words]
+        assert (flat.tolist(), sizes.tolist()) == ([i for x in want for i in x], [len(x) for x in want])
+
+
+def test_bpe_merge_touches_only_its_places_and_their_neighbours():
+    state = bpe.Words([b"other", b"the", b"xyz", b"bathe"], RANKS)
+    while state.queue:
+        before = [x.copy() for x in (state.token, state.pair, state.alive, state.after, state.before)]
+        rank = state.queue[0]
+        places = np.sort(np.concatenate(state.index[rank]))
+        places = places[state.pair[places] == rank]
+        near = {*places.tolist(), *state.after[places].tolist(), *state.before[places].tolist(), *state.after[state.after[places]].tolist()}
+        state.merge_next(False)
+        for old, new in zip(before, (state.token, state.pair, state.alive, state.after, state.before), strict=True):
+            assert {*np.flatnonzero(old != new).tolist()} <= near
+        assert rank not in state.index
+
+
+def test_bpe_known_pretokens_may_be_forgotten(monkeypatch):
+    texts = [f"word{i % 7} and the rest {i}" for i in range(40)]
+    whole = bpe.Encoder(RANKS).encode(texts)
+    monkeypatch.setattr(bpe, "HELD", 8)
+    parts = bpe.Encoder(RANKS)
+    got = [parts.encode(texts[i : i + 3]) for i in range(0, 40, 3)]
+    assert np.concatenate([g[0] for g in got]).tolist() == whole[0].tolist() and np.concatenate([g[1] for g in got]).tolist() == whole[1].tolist()
+
+
+def test_bpe_columns_repeats_unknown_ids_and_no_rows(spark):
+    df = spark.createDataFrame([(1, "a b", 5), (1, "a b", 5), (2, None, 6)], "doc_id long, text string, ids long")
+    df = df.withColumn("a.b", F.lit(7))
+    out = bpe.encode(df, RANKS, decoded="back").collect()
+    assert [bytes(r["back"]) for r in out] == [b"a b", b"a b", b""] and out[0]["ids"] == out[1]["ids"] == WHOLE.encode_ordinary("a") + WHOLE.encode_ordinary(" b") and out[2]["ids"] == []
+    assert all(r["a.b"] == 7 for r in out)
+    assert bpe.encode(df.limit(0), RANKS).count() == 0 and bpe.decode(bpe.encode(df.limit(0), RANKS), RANKS).count() == 0
+    odd = spark.createDataFrame([([64, None, 10**7, -1, 65],), (None,), ([],)], "ids array<int>").withColumn("decoded", F.lit(1))
+    assert [bytes(r["decoded"]).decode() for r in bpe.decode(odd, RANKS).collect()] == ["a\ufffd\ufffd\ufffdb", "", ""]
 
 
 def simple_scan(text, items):

@@ -46,8 +46,8 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
-    return bpe.decode(ids, vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.col("ids").cast("array<string>"), " ").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, decoded="decoded")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.col("ids").cast("array<string>"), " ").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def joined(spans: Column) -> Column:
