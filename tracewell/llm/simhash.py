@@ -20,11 +20,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from tracewell.llm.common import append_arrow, materialise, texts
+from tracewell.llm.common import append_arrow, fresh, materialise, quoted, texts
 from tracewell.llm.components import stars
 
 PIVOTS = 16
@@ -57,8 +57,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     def start():
         return lambda batch: [pa.array([signed(fingerprint(x.lower().split(), shingle)) for x in texts(batch.column("__text"))], pa.int64())]
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
-    return append_arrow(rows, [StructField("fp", LongType())], start).select("doc_id", "fp")
+    rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("__text"))
+    return append_arrow(rows, [StructField("fp", LongType())], start, "__text").select("doc_id", "fp")
 
 
 def pivots(n: int = PIVOTS) -> list[int]:
@@ -96,19 +96,26 @@ def block_keys() -> Column:
 def links(distinct: DataFrame) -> DataFrame:
     """u, v: links between distinct fingerprints (column fp) that leave its components as they are.
 
-    Pairs of small buckets come as they are; a probe links its members to the lowest of them."""
+    Small buckets propose all their pairs, and a probe pairs its members with the lowest of them. Every
+    proposed pair goes by the pivot table and is then verified."""
     table = materialise(pivot_table(distinct.select("fp")), "pivots")
     keys = table.withColumn("k", F.explode(block_keys()))
     sizes = materialise(keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     small = materialise(keys.join(sizes.where(F.col("n") <= BUCKET), "k").drop("n"), "small_buckets")
     pairs = small.alias("a").join(small.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") < F.col("b.fp")))
-    near = pairs.where(coordinates_within(MAX_BITS)).where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MAX_BITS).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
     crowded = materialise(keys.join(sizes.where(F.col("n") > BUCKET), "k").select("fp").distinct(), "crowded")
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)])
     probes = crowded.select("fp", F.explode(flips).alias("probe"))
     met = materialise(probes.groupBy("probe").agg(F.min("fp").alias("m"), F.count("*").alias("n")).where("n > 1").select("probe", "m"), "probes")
-    starred = probes.join(met, "probe").where("fp <> m").select(F.col("fp").alias("u"), F.col("m").alias("v"))
-    return near.union(starred).distinct()
+    starred = probes.join(met, "probe").where("fp <> m").select("fp", "m").distinct()
+    led = starred.join(table, "fp").alias("a").join(table.alias("b"), F.col("a.m") == F.col("b.fp"))
+    return near(pairs).union(near(led)).distinct()
+
+
+def near(pairs: DataFrame) -> DataFrame:
+    """u, v: pairs of rows a and b of the pivot table that the table lets pass and their bits confirm."""
+    verified = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MAX_BITS
+    return pairs.where(coordinates_within(MAX_BITS)).where(verified).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
 def clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,16 +140,25 @@ def components(fps: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFra
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of docs with the smallest doc_id of each component; rows without doc_id stay."""
+    """The row of docs with the smallest doc_id of each component, as keep_lowest has it.
+
+    Columns of docs may have any names and keep their order. Null and empty texts are copies of one
+    another. No rows: no rows."""
     return keep_lowest(docs, clusters(docs, doc_id, text), doc_id)
 
 
 def keep_lowest(docs: DataFrame, clustered: DataFrame, doc_id: str) -> DataFrame:
-    """The row of docs with the smallest doc_id of each component (doc_id, component_id); rows without doc_id stay."""
+    """The row of docs with the smallest doc_id of each component (doc_id, component_id); rows without
+    doc_id stay. Of rows that repeat that doc_id the one whose columns, as JSON, come first stays."""
     grouped = materialise(clustered, "clusters")
     kept = materialise(grouped.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    own = fresh(docs, "kept_id")
+    ids = lambda rows: rows.select(F.col("doc_id").alias(own))
     # The kept ids grow with the corpus, so the join is a shuffle at every size.
-    once = docs.join(kept.where("n = 1").select(F.col("doc_id").alias(doc_id)).hint("merge"), doc_id, "left_semi")
-    out = once.union(docs.where(F.col(doc_id).isNull()))
-    repeated = kept.where("n > 1").select(F.col("doc_id").alias(doc_id))
-    return out if repeated.isEmpty() else out.union(docs.join(repeated, doc_id, "left_semi").dropDuplicates([doc_id]))
+    out = docs.join(ids(kept.where("n = 1")).hint("merge"), quoted(doc_id) == F.col(own), "left_semi").union(docs.where(quoted(doc_id).isNull()))
+    repeated = kept.where("n > 1")
+    if repeated.isEmpty():
+        return out
+    order, nth = F.to_json(F.struct(*[quoted(c) for c in docs.columns])), fresh(docs, "nth")
+    ranked = docs.join(ids(repeated), quoted(doc_id) == F.col(own), "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(quoted(doc_id)).orderBy(order)))
+    return out.union(ranked.where(F.col(nth) == 1).drop(nth))
