@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 from tracewell.llm.common import append_arrow
 
 #: Bytes of pretokens that a task knows the ids of; beyond it a pretoken is replayed again.
-HELD = 1 << 22
+HELD = 1 << 21
 NONE = np.int32(2**31 - 1)
 #: What an id that names no token decodes to.
 UNKNOWN = "�".encode()
