@@ -1,6 +1,7 @@
 """Main text of pages: planted articles, site templates, broken markup."""
 
 import html as entities
+import os
 import re
 
 import pytest
@@ -78,15 +79,74 @@ def test_recurring_notice_inside_articles(spark):
         ("<div>" * 50_000 + "deep" + "</div>" * 50_000, "deep"),
         ("<article>" + "<a<a" * 100_000, "<a<a" * 100_000),
         ("<article><p>" + "w " * 300_000, ("w " * 300_000).strip()),
+        ("<div>" * 50_000 + "</section></li>" * 50_000 + "x", "x"),
     ],
 )
 def test_markup(source, want):
-    assert html.main_text(source, set()) == want
+    assert html.main_text(source) == want
+
+
+def varied(i, inner="article"):
+    """A page whose menu, notice and footer differ in text from all others."""
+    menu = "".join(f"<li><a href='/{i}{j}'>item {chr(97 + i)}{chr(97 + j)}</a></li>" for j in range(2 + i % 3))
+    prose = "".join(f"<p>Paragraph {chr(97 + i)}{chr(97 + j)} says something of its own in quite a few words more than the rest.</p>" for j in range(4))
+    return f"<body><div class='m{i}'><ul>{menu}</ul></div><div class='box'>Only today {chr(97 + i)}</div><{inner}><h2>Title {chr(97 + i)}</h2>{prose}</{inner}><section>Owner {chr(97 + i)}</section></body>"
+
+
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_template_with_text_that_varies_goes_by_its_shell(spark, inner):
+    rows = [(i, f"http://v.org/{i}", varied(i, inner)) for i in range(12)]
+    own = lambda x: re.sub(r"(?s).*?(?=Title)|Owner.*", "", x).strip()
+    out = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, PAGES), rules=False).collect()}
+    for i, _, source in rows:
+        assert out[i] == own(html.main_text(source, rules=False)) and out[i].startswith("Title") and out[i].count("Paragraph") == 4
+
+
+def test_counts_are_those_of_a_plain_count(spark, sf_dir):
+    """Shells and subtrees that Spark calls template, against counts in plain Python."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = pages.union(pages.limit(3))
+    by_host: dict = {}
+    for r in pages.withColumn("host", html.host_of(F.col("url"))).collect():
+        if r["html"] is not None:
+            by_host.setdefault(r["host"], {})[r["html"]] = html.features(r["html"])
+    want = set()
+    for host, of in by_host.items():
+        seen: dict = {}
+        for body, (article, found) in of.items():
+            for f in found:
+                sig = article if f["kind"] in (html.INSIDE, html.INSIDE_BOX) else body
+                held = seen.setdefault((f["kind"], f["key"]), [set(), 0, 0, f["up"]])
+                held[0].add(sig)
+                held[1] += f["chars"]
+                held[2] += f["total"]
+        pages_of = len(seen[html.PAGE, 0][0])
+        rated = {k: (len(v[0]), v[1] / v[2] if v[2] else 0.0, v[3]) for k, v in seen.items() if k[0] != html.PAGE and len(v[0]) >= 3}
+        main = {k for k, v in rated.items() if k[0] == html.SHELL and v[1] >= 0.5}
+        outer = {rated[k][2] for k in main}
+        for (kind, key), (n, part, _) in rated.items():
+            often = n >= 10 or n / pages_of >= 0.2
+            if (kind, key) in main:
+                if key not in outer:
+                    want.add((host, kind, key, True))
+            elif (often and part < 0.1) if kind == html.SHELL else often if kind == html.OUTSIDE else n >= 10 and (kind == html.INSIDE_BOX or n / pages_of >= 0.5):
+                want.add((host, kind, key, False))
+    got = {tuple(r) for r in html.template_of_hosts(html.page_features(pages, "url", "html")).collect()}
+    assert got == want and got
+
+
+def test_tables_by_the_template_alone(spark, sf_dir):
+    pages = spark.read.parquet(f"{os.path.dirname(sf_dir)}/sf0.01/pages.parquet")
+    hosts = {r["h"] for r in pages.groupBy(html.host_of(F.col("url")).alias("h")).count().where("count >= 4").collect()}
+    out = html.extract(pages, rules=False).withColumn("h", html.host_of(F.col("url"))).collect()
+    known = [r for r in out if r["h"] in hosts]
+    same = sum(r["text"] == article_of(r["html"]) for r in known)
+    assert known and same >= 0.9 * len(known)
 
 
 def test_null_repeated_clashing_and_no_rows(spark):
     rows = [(1, None, None), (1, None, None), (None, "x", "<p>a</p>"), (2, "", "<p>b</p>"), (2, "", "<p>b</p>")]
-    df = spark.createDataFrame(rows, PAGES).withColumn("text", F.lit("own")).withColumn("host", F.lit(1))
+    df = spark.createDataFrame(rows, PAGES).withColumns({"text": F.lit("own"), "host": F.lit(1), "template": F.lit(2), "a.b": F.lit(3)})
     out = html.extract(df)
     assert sorted((r["page_id"] or 0, r["text"], r["host"]) for r in out.collect()) == [(0, "a", 1), (1, "", 1), (1, "", 1), (2, "b", 1), (2, "b", 1)]
     assert html.extract(df.limit(0)).count() == 0

@@ -1,43 +1,56 @@
 """Main text of web pages by removing the site's template.
 
 Each page is parsed into elements, and every element subtree gets a hash of its tags and text. Spark
-counts in how many different pages of a host a subtree occurs. Subtrees that recur across many of
-them are the template (menus, banners, notices, footers) and are deleted; inside an article element
-the bar is higher, since copies of an article may repeat its paragraphs. What is left of the article
-(or of the body, where there is no article) is the text, without elements that are no prose by their
-tag or by a class, id or role that names what they hold.
-
-Pages that are equal count once, so a host's copies of one page don't make that page a template.
-Outside articles a number of pages is enough, however many pages the host has, so a host's templates
-may be many: they meet the subtrees of pages by host and subtree, and a page gets those that it holds.
+counts in how many pages of a host a subtree occurs; those that recur across many of them are template (menus, banners, notices, footers) and are deleted. A menu or
+footer need not have the same text everywhere. So containers outside articles also have a shell: the
+path of tags and names that leads to them, whatever they hold. A shell that recurs across the host's
+pages is template if it holds a small part of their text, and is not inside the shell that holds most
+of it, which is where the host keeps its articles.
+
+Inside articles the bar is higher, since articles may share sentences: containers must recur on
+MANY_PAGES, other elements on half of the pages too, and pages whose articles have the same three
+longest pieces of text (copies of one article) count once. Equal pages count once everywhere, so a host's copies
+of one page don't make that page a template.
+
+What is left after that is the text. As a last step, for hosts with too few pages to show a template,
+elements go by tag and by a class, id or role that names something other than prose, and where there is
+an article (or a main element) only that counts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import html as entities
 import re
+from collections import Counter
+from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from tracewell.llm.common import append_arrow, broadcast_below, materialise
+from tracewell.llm.common import append_arrow, fresh, materialise, quoted
 
-#: A subtree is template if in so many pages of its host, and in this share of them or MANY_PAGES.
+#: Outside articles a subtree or shell is template if in so many pages of its host, and in this share of them or MANY_PAGES.
 LEAST_PAGES, LEAST_SHARE, MANY_PAGES = 3, 0.2, 10
-#: Inside an article, if in so many pages and in this share of them.
-ARTICLE_PAGES, ARTICLE_SHARE = 10, 0.5
-#: Hosts up to which their page counts are broadcast.
-BROADCAST_HOSTS = 20_000
+#: Inside an article, an element that is no container must be in this share of them.
+ARTICLE_SHARE = 0.5
+#: Of the text of the pages where it occurs, a template shell holds less than the first, the article's shell the second or more.
+SMALL_PART, MAIN_PART = 0.1, 0.5
+#: What is counted: subtrees outside articles, inside them, containers inside them, shells, pages.
+OUTSIDE, INSIDE, INSIDE_BOX, SHELL, PAGE = range(5)
 
 # Names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Elements that hold no prose of the page.
-NO_PROSE = frozenset("head script style noscript template title nav header footer aside form button select textarea input iframe object embed noembed noframes svg math canvas audio video dialog menu xmp".split())
+#: Elements that are never text of the page, and those that hold no prose by their tag.
+HIDDEN = frozenset("head script style noscript template title button select textarea input iframe object embed noembed noframes svg math canvas audio video xmp".split())
+NO_PROSE = frozenset("nav header footer aside form dialog menu".split())
+CONTAINERS = frozenset("article aside center dialog div footer form header main menu nav section table".split())
 #: Opening one of these closes an open element of the set, up to the nearest of the second set.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
@@ -49,35 +62,34 @@ SIDE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promoted|promotion|sidebar|side|aside|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|footer|header|masthead|cookie|cookies|consent|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|comment|comments|respond|replies|disqus|related|recommended|recommendations|widget|toolbar|pagination|pager|skip|complementary|contentinfo|search|tablist|dialog)(?:$|[\s_-])"
 )
 TOKEN = re.compile(r"""<!--(?P<comment>.*?)(?:--!?>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*+)>""", re.S)
+DIGITS, LETTER = re.compile(r"[0-9]+"), re.compile(r"[^\W\d_]")
 ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 
 
 class Element:
-    __slots__ = ("tag", "parts", "side", "hash")
+    __slots__ = ("tag", "parts", "side", "cut", "hash", "shell", "chars", "letters")
 
-    def __init__(self, tag: str, side: bool):
-        self.tag, self.parts, self.side, self.hash = tag, [], side, 0
+    def __init__(self, tag: str, side: bool, shell: int):
+        self.tag, self.parts, self.side, self.cut, self.shell = tag, [], side, tag in HIDDEN, shell
 
 
-def is_side(tag: str, attrs: str) -> bool:
-    """Whether the element holds something other than prose of the article."""
-    if tag in NO_PROSE:
-        return True
-    if tag in ("html", "body") or not attrs.strip():
-        return False
+def names_of(attrs: str) -> tuple[str, bool]:
+    """class, id and role of an element, and whether it is hidden."""
+    names, hidden = [], False
     for name, a, b, c in ATTR.findall(attrs):
         value, name = (a or b or c).lower(), name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id", "role") and SIDE.search(value):
-            return True
-    return False
+        if name in ("class", "id", "role"):
+            names.append(value)
+        elif name == "hidden" or value == "true":
+            hidden = True
+    return " ".join(names), hidden
 
 
 def parse(source: str) -> Element:
     """The tree of a page, as far as text needs it. Broken markup is closed where a browser would."""
-    root = Element("", False)
+    root = Element("", False, 0)
     stack, at, n, last = [root], 0, len(source), source.rfind(">")
+    open_now: Counter = Counter()
 
     def text(piece: str) -> None:
         if piece:
@@ -85,8 +97,11 @@ def parse(source: str) -> Element:
 
     def close(names: frozenset | set, until: frozenset) -> None:
         """Ends the nearest open element of names, unless one of until is nearer."""
+        if not any(open_now[x] for x in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
+                open_now.subtract([e.tag for e in stack[i:]])
                 del stack[i:]
                 return
             if stack[i].tag in until:
@@ -114,7 +129,9 @@ def parse(source: str) -> Element:
             close({"p"}, P_SCOPE)
         if tag in CLOSES:
             close(*CLOSES[tag])
-        element = Element(tag, is_side(tag, m["attrs"]))
+        names, hidden = names_of(m["attrs"]) if m["attrs"].strip() else ("", False)
+        side = tag in NO_PROSE or hidden or bool(names and tag not in ("html", "body") and SIDE.search(names))
+        element = Element(tag, side, xxhash.xxh3_64_intdigest(f"{tag} {DIGITS.sub('0', names)}", stack[-1].shell))
         stack[-1].parts.append(element)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
@@ -123,6 +140,7 @@ def parse(source: str) -> Element:
             at = end.end() if end else n
         elif tag not in VOID:
             stack.append(element)
+            open_now[tag] += 1
     return root
 
 
@@ -137,12 +155,23 @@ def walk(root: Element):
 
 
 def add_hashes(root: Element) -> list[tuple[Element, bool]]:
-    """Gives every element the hash of its subtree: tags, and text with white space made even."""
+    """Gives every element the hash of its subtree (tags, and text with white space made even), the
+    characters of prose in it, and whether it has letters."""
     order = list(walk(root))
     for e, _ in reversed(order):
         h = hashlib.blake2b(e.tag.encode(), digest_size=8)
+        e.chars, e.letters = 0, False
         for x in e.parts:
-            h.update(b"\0" + x.hash.to_bytes(8, "little") if x.__class__ is Element else b"\1" + " ".join(x.split()).encode("utf-8", "surrogatepass"))
+            if x.__class__ is Element:
+                h.update(b"\0" + x.hash.to_bytes(8, "little"))
+                e.letters = e.letters or x.letters
+                if not x.side and not x.cut:
+                    e.chars += x.chars
+            else:
+                even = " ".join(x.split())
+                e.chars += len(even)
+                e.letters = e.letters or LETTER.search(even) is not None
+                h.update(b"\1" + even.encode("utf-8", "surrogatepass"))
         e.hash = int.from_bytes(h.digest(), "little")
     return order
 
@@ -151,16 +180,33 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def subtree_hashes(source: str) -> tuple[list[int], list[int]]:
-    """Hashes of a page's subtrees outside and inside of articles, each once; empty ones left out."""
-    out: tuple[dict, dict] = {}, {}
-    for e, inside in add_hashes(parse(source)):
-        if e.parts and e.tag not in ("", "html", "body", "head", "article", "main"):
-            out[inside][signed(e.hash)] = None
-    return list(out[0]), list(out[1])
+def features(source: str) -> tuple[int, list[dict]]:
+    """A page's signature (hash of the three longest pieces of text in its articles) and what is counted of it, each once:
+    kind, key, up (a shell's parent), chars and total (characters of prose in a shell and in the page)."""
+    root, pieces = parse(source), []
+    order = add_hashes(root)
+    out: dict[tuple[int, int], dict] = {(PAGE, 0): {"kind": PAGE, "key": 0, "up": 0, "chars": 0, "total": 0}}
+    up = {id(root): 0}
+    for e, inside in order:
+        box = e.shell if e.tag in CONTAINERS else up[id(e)]
+        for x in e.parts:
+            if x.__class__ is Element:
+                up[id(x)] = box
+            elif inside or e.tag in ("article", "main"):
+                pieces.append(" ".join(x.split()))
+        if e.cut or not e.parts or e.tag in ("", "html", "body"):
+            continue
+        if e.tag not in ("article", "main") and (e.letters or not inside):
+            kind = (INSIDE_BOX if e.tag in CONTAINERS else INSIDE) if inside else OUTSIDE
+            out[kind, e.hash] = {"kind": kind, "key": signed(e.hash), "up": 0, "chars": 0, "total": 0}
+        if not inside and e.tag in CONTAINERS:
+            held = out.setdefault((SHELL, e.shell), {"kind": SHELL, "key": signed(e.shell), "up": signed(up[id(e)]), "chars": 0, "total": root.chars})
+            held["chars"] += 0 if e.side else e.chars
+    longest = "\n".join(heapq.nlargest(3, pieces, key=len))
+    return signed(xxhash.xxh3_64_intdigest(longest.encode("utf-8", "surrogatepass"))), list(out.values())
 
 
-def blocks_of(tops: list[Element]) -> list[str]:
+def blocks_of(tops: list[Element], rules: bool) -> list[str]:
     """Text blocks below the given elements, in page order."""
     blocks, held = [], []
 
@@ -179,7 +225,7 @@ def blocks_of(tops: list[Element]) -> list[str]:
             held.append(x)
         elif x.tag in VOID:
             flush() if x.tag == "hr" else held.append(" ")
-        elif x.side:
+        elif x.cut or x.side and rules:
             if x.tag in BLOCK:
                 flush()
         else:
@@ -192,18 +238,44 @@ def blocks_of(tops: list[Element]) -> list[str]:
     return blocks
 
 
-def main_text(source: str, template: set[int], outside: set[int] | frozenset = frozenset()) -> str:
-    """The page's main text, given the template subtrees of its host, and those that are template outside articles."""
+@dataclass(frozen=True)
+class Template:
+    """What a host's pages have in common, as far as a page holds it: subtrees outside and inside of
+    articles, shells of template, and shells that hold the host's articles."""
+
+    outside: frozenset = frozenset()
+    inside: frozenset = frozenset()
+    shells: frozenset = frozenset()
+    main: frozenset = frozenset()
+
+
+def cut_template(root: Element, t: Template) -> None:
+    """Marks the elements that are template."""
+    add_hashes(root)
+    todo = [(root, False, False)]
+    while todo:
+        e, inside, main = todo.pop()
+        if e.parts and e.tag not in ("", "html", "body", "article", "main"):
+            e.cut = e.cut or signed(e.hash) in (t.inside if inside else t.outside)
+        if not inside and not main and e.tag in CONTAINERS and signed(e.shell) in t.shells:
+            e.cut = True
+        inside, main = inside or e.tag in ("article", "main"), main or signed(e.shell) in t.main
+        todo += [(x, inside, main) for x in e.parts if x.__class__ is Element]
+
+
+def main_text(source: str, template: Template = Template(), rules: bool = True) -> str:
+    """The page's main text, given its host's template. Without rules: all that the template leaves."""
     root = parse(source)
+    if template != Template():
+        cut_template(root, template)
+    if not rules:
+        return "\n".join(blocks_of([root], rules))
     tops: list[Element] = []
     mains: list[Element] = []
-    for e, inside in add_hashes(root) if template or outside else ():
-        if signed(e.hash) in template or not inside and signed(e.hash) in outside:
-            e.side = True
     todo = [root]
     while todo:  # the outermost articles that are no side matter
         e = todo.pop()
-        if e.side:
+        if e.side or e.cut:
             continue
         if e.tag == "article":
             tops.append(e)
@@ -211,7 +283,7 @@ def main_text(source: str, template: set[int], outside: set[int] | frozenset = f
         if e.tag == "main":
             mains.append(e)
         todo += [x for x in reversed(e.parts) if x.__class__ is Element]
-    return "\n".join(blocks_of(tops or mains[:1] or [root]))
+    return "\n".join(blocks_of(tops or mains[:1] or [root], rules))
 
 
 def host_of(url: Column) -> Column:
@@ -220,54 +292,70 @@ def host_of(url: Column) -> Column:
     return F.lower(found)
 
 
+FEATURE = StructType([StructField("kind", IntegerType()), *[StructField(x, LongType()) for x in ("key", "up", "chars", "total")]])
+
+
+def page_features(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """host, page (hash of its html), sig (what pages count by), and the page's features (see features), each once."""
+    rows = pages.where(quoted(html).isNotNull()).select(host_of(quoted(url)).alias("host"), quoted(html).alias("html"), F.xxhash64(quoted(html)).alias("page"))
+    kind = pa.struct([("kind", pa.int32()), *[(x, pa.int64()) for x in ("key", "up", "chars", "total")]])
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        found = [features(x) for x in batch.column("html").to_pylist()]
+        return [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(kind))]
+
+    found = append_arrow(rows, [StructField("sig", LongType()), StructField("features", ArrayType(FEATURE))], lambda: make, "html")
+    each = found.select("host", "page", "sig", F.explode("features").alias("f")).select("host", "page", "sig", "f.*").dropDuplicates(["host", "page", "kind", "key"])
+    return each.withColumn("sig", F.when(F.col("kind").isin(INSIDE, INSIDE_BOX), F.col("sig")).otherwise(F.col("page")))
+
+
+def template_of_hosts(features: DataFrame) -> DataFrame:
+    """host, kind, key, main: the template subtrees and shells of each host; main marks the shells that
+    hold its articles, which are no template."""
+    once = features.groupBy("host", "kind", "key", "sig").agg(*[F.sum(x).alias(x) for x in ("chars", "total")], F.max("up").alias("up"))
+    counts = once.groupBy("host", "kind", "key").agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in ("chars", "total")], F.max("up").alias("up"))
+    counts = materialise(counts.where((F.col("kind") == PAGE) | (F.col("n") >= LEAST_PAGES)), "subtree_counts")
+    pages = counts.where(F.col("kind") == PAGE).select("host", F.col("n").alias("pages"))
+    kind, n, share = F.col("kind"), F.col("n"), F.col("n") / F.col("pages")
+    part = F.when(F.col("total") > 0, F.col("chars") / F.col("total")).otherwise(F.lit(0.0))
+    often = (n >= MANY_PAGES) | (share >= LEAST_SHARE)
+    in_article = (n >= MANY_PAGES) & ((kind == INSIDE_BOX) | (share >= ARTICLE_SHARE))
+    rated = counts.where(kind != PAGE).join(pages.hint("merge"), "host").withColumn("main", (kind == SHELL) & (part >= MAIN_PART))
+    chosen = materialise(rated.where(F.col("main") | F.when(kind == SHELL, often & (part < SMALL_PART)).when(kind == OUTSIDE, often).otherwise(in_article)).select("host", "kind", "key", "up", "main"), "template_subtrees")
+    outer = chosen.where("main").select("host", F.col("up").alias("key"), F.lit(True).alias("main")).distinct()  # only the innermost holds the articles
+    return chosen.join(outer, ["host", "key", "main"], "left_anti").select("host", "kind", "key", "main")
+
+
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, page (hash of its html), template and outside (hashes of the page's subtrees that are
-    template anywhere, and outside articles): a row for each different page of a host that holds any.
+    """host, page (hash of its html), and the page's part of the host's template as four arrays, those of
+    Template: a row for each different page of a host that holds any.
 
     Null urls share the host ''. Null pages have no subtree. Equal pages of a host count once."""
-    rows = pages.where(F.col(html).isNotNull()).select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"), F.xxhash64(html).alias("page"))
-
-    def start():
-        def make(batch):
-            pairs = [subtree_hashes(x) for x in batch.column("html").to_pylist()]
-            return [pa.array([p[i] for p in pairs], pa.list_(pa.int64())) for i in (0, 1)]
-
-        return make
-
-    found = append_arrow(rows, [StructField("outside", ArrayType(LongType())), StructField("inside", ArrayType(LongType()))], start)
-    pair = lambda inside: lambda x: F.struct(F.lit(inside).alias("inside"), x.alias("subtree"))
-    whole = F.array(F.struct(F.lit(None).cast("boolean").alias("inside"), F.lit(0).cast("long").alias("subtree")))  # counts the page
-    each = found.select("host", "page", F.explode(F.concat(whole, F.transform("outside", pair(False)), F.transform("inside", pair(True)))).alias("s")).select("host", "page", "s.*")
-    each = materialise(each.distinct(), "page_subtrees")
-    counts = materialise(each.groupBy("host", "inside", "subtree").agg(F.count("*").alias("n")).where(F.col("inside").isNull() | (F.col("n") >= LEAST_PAGES)), "subtrees")
-    total = counts.where(F.col("inside").isNull()).select("host", F.col("n").alias("pages"))
-    often = counts.where(F.col("inside").isNotNull()).join(broadcast_below(total, BROADCAST_HOSTS), "host")
-    share = F.when(F.col("inside"), F.greatest(F.lit(ARTICLE_PAGES), F.ceil(F.col("pages") * ARTICLE_SHARE))).otherwise(F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("pages") * LEAST_SHARE)))
-    often = often.withColumn("anywhere", F.col("n") >= share).where(F.col("anywhere") | (~F.col("inside") & (F.col("n") >= MANY_PAGES)))
-    template = materialise(often.groupBy("host", "subtree").agg(F.max("anywhere").alias("anywhere")), "template_subtrees")
-    held = each.where(F.col("inside").isNotNull()).join(template.hint("merge"), ["host", "subtree"])
-    sets = [F.collect_set(F.when(x, F.col("subtree"))).alias(name) for x, name in ((F.col("anywhere"), "template"), (~F.col("anywhere"), "outside"))]
-    return materialise(held.groupBy("host", "page").agg(*sets), "templates")
-
-
-def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
+    each = materialise(page_features(pages, url, html), "page_features")
+    held = each.where(F.col("kind") != PAGE).join(materialise(template_of_hosts(each), "template").hint("merge"), ["host", "kind", "key"])
+    kind, main = F.col("kind"), F.col("main")
+    sets = {"outside": kind == OUTSIDE, "inside": kind.isin(INSIDE, INSIDE_BOX), "shells": (kind == SHELL) & ~main, "main": main}
+    return materialise(held.groupBy("host", "page").agg(*[F.collect_set(F.when(x, F.col("key"))).alias(name) for name, x in sets.items()]), "templates")
+
+
+def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", rules: bool = True) -> DataFrame:
     """pages with the main text of each row's whole html in column out.
 
     Null and empty html give an empty text, as does a page without prose. Character references are
     decoded; white space inside a block is one space; blocks are joined by \\n. Repeated rows give
-    equal texts. A column of pages named like out is replaced. No rows: no rows."""
+    equal texts. Other columns may have any names; one named like out is replaced. Without rules the
+    template alone decides. No rows: no rows."""
     found = templates(pages, url, html)
-    named = pages.withColumns({"__host": host_of(F.col(url)), "__page": F.xxhash64(html)})
-    met = named.join(found.select(F.col("host").alias("__host"), F.col("page").alias("__page"), F.struct("template", "outside").alias("__template")).hint("merge"), ["__host", "__page"], "left")
-
-    def start():
-        def make(batch):
-            texts = []
-            for source, t in zip(batch.column(html).to_pylist(), batch.column("__template").to_pylist(), strict=True):
-                t = t or {"template": (), "outside": ()}
-                texts.append(main_text(source, set(t["template"]), set(t["outside"])) if source else "")
-            return [pa.array(texts, pa.string())]
-
-        return make
-
-    return append_arrow(met, [StructField(out, StringType())], start).drop("__host", "__page", "__template")
+    host, page, template = (fresh(pages, x) for x in ("host", "page", "template"))
+    named = pages.withColumns({host: host_of(quoted(url)), page: F.xxhash64(quoted(html))})
+    met = named.join(found.select(F.col("host").alias(host), F.col("page").alias(page), F.struct("outside", "inside", "shells", "main").alias(template)).hint("merge"), [host, page], "left")
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        texts = []
+        for source, t in zip(batch.column(html).to_pylist(), batch.column(template).to_pylist(), strict=True):
+            own = Template(**{k: frozenset(v) for k, v in t.items()}) if t else Template()
+            texts.append(main_text(source, own, rules) if source else "")
+        return [pa.array(texts, pa.string())]
+
+    done = append_arrow(met, [StructField(out, StringType())], lambda: make, html)
+    return done.select(*[quoted(c) for c in done.columns if c not in (host, page, template)])
