@@ -93,8 +93,9 @@ def varied(i, inner="article"):
     return f"<body><div class='m{i}'><ul>{menu}</ul></div><div class='box'>Only today {chr(97 + i)}</div><{inner}><h2>Title {chr(97 + i)}</h2>{prose}</{inner}><section>Owner {chr(97 + i)}</section></body>"
 
 
-@pytest.mark.parametrize("inner", ["article", "div"])
-def test_template_with_text_that_varies_goes_by_its_shell(spark, inner):
+@pytest.mark.parametrize("inner, keys", [("article", 0), ("div", 1000)])
+def test_template_with_text_that_varies_goes_by_its_shell(spark, monkeypatch, inner, keys):
+    monkeypatch.setattr(html, "BROADCAST_KEYS", keys)
     rows = [(i, f"http://v.org/{i}", varied(i, inner)) for i in range(12)]
     own = lambda x: re.sub(r"(?s).*?(?=Title)|Owner.*", "", x).strip()
     out = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, PAGES), rules=False).collect()}

@@ -40,6 +40,8 @@ LEAST_PAGES, LEAST_SHARE, MANY_PAGES = 3, 0.2, 10
 ARTICLE_SHARE = 0.5
 #: Of the text of the pages where it occurs, a template shell holds less than the first, the article's shell the second or more.
 SMALL_PART, MAIN_PART = 0.1, 0.5
+#: Template subtrees and shells of all hosts up to which they are broadcast.
+BROADCAST_KEYS = 200_000
 #: What is counted: subtrees outside articles, inside them, containers inside them, shells, pages.
 OUTSIDE, INSIDE, INSIDE_BOX, SHELL, PAGE = range(5)
 
@@ -296,7 +298,7 @@ FEATURE = StructType([StructField("kind", IntegerType()), *[StructField(x, LongT
 
 
 def page_features(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """host, page (hash of its html), sig (what pages count by), and the page's features (see features), each once."""
+    """host, page (hash of its html), sig (what pages count by), and the page's features (see features). Equal pages have equal rows."""
     rows = pages.where(quoted(html).isNotNull()).select(host_of(quoted(url)).alias("host"), quoted(html).alias("html"), F.xxhash64(quoted(html)).alias("page"))
     kind = pa.struct([("kind", pa.int32()), *[(x, pa.int64()) for x in ("key", "up", "chars", "total")]])
 
@@ -305,14 +307,14 @@ def page_features(pages: DataFrame, url: str, html: str) -> DataFrame:
         return [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(kind))]
 
     found = append_arrow(rows, [StructField("sig", LongType()), StructField("features", ArrayType(FEATURE))], lambda: make, "html")
-    each = found.select("host", "page", "sig", F.explode("features").alias("f")).select("host", "page", "sig", "f.*").dropDuplicates(["host", "page", "kind", "key"])
+    each = found.select("host", "page", "sig", F.explode("features").alias("f")).select("host", "page", "sig", "f.*")
     return each.withColumn("sig", F.when(F.col("kind").isin(INSIDE, INSIDE_BOX), F.col("sig")).otherwise(F.col("page")))
 
 
 def template_of_hosts(features: DataFrame) -> DataFrame:
     """host, kind, key, main: the template subtrees and shells of each host; main marks the shells that
     hold its articles, which are no template."""
-    once = features.groupBy("host", "kind", "key", "sig").agg(*[F.sum(x).alias(x) for x in ("chars", "total")], F.max("up").alias("up"))
+    once = features.groupBy("host", "kind", "key", "sig").agg(*[F.max(x).alias(x) for x in ("chars", "total", "up")])
     counts = once.groupBy("host", "kind", "key").agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in ("chars", "total")], F.max("up").alias("up"))
     counts = materialise(counts.where((F.col("kind") == PAGE) | (F.col("n") >= LEAST_PAGES)), "subtree_counts")
     pages = counts.where(F.col("kind") == PAGE).select("host", F.col("n").alias("pages"))
@@ -323,39 +325,58 @@ def template_of_hosts(features: DataFrame) -> DataFrame:
     rated = counts.where(kind != PAGE).join(pages.hint("merge"), "host").withColumn("main", (kind == SHELL) & (part >= MAIN_PART))
     chosen = materialise(rated.where(F.col("main") | F.when(kind == SHELL, often & (part < SMALL_PART)).when(kind == OUTSIDE, often).otherwise(in_article)).select("host", "kind", "key", "up", "main"), "template_subtrees")
     outer = chosen.where("main").select("host", F.col("up").alias("key"), F.lit(True).alias("main")).distinct()  # only the innermost holds the articles
-    return chosen.join(outer, ["host", "key", "main"], "left_anti").select("host", "kind", "key", "main")
+    return materialise(chosen.join(outer, ["host", "key", "main"], "left_anti").select("host", "kind", "key", "main"), "template")
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def templates(features: DataFrame, template: DataFrame) -> DataFrame:
     """host, page (hash of its html), and the page's part of the host's template as four arrays, those of
-    Template: a row for each different page of a host that holds any.
-
-    Null urls share the host ''. Null pages have no subtree. Equal pages of a host count once."""
-    each = materialise(page_features(pages, url, html), "page_features")
-    held = each.where(F.col("kind") != PAGE).join(materialise(template_of_hosts(each), "template").hint("merge"), ["host", "kind", "key"])
+    Template: a row for each different page of a host that holds any."""
+    held = features.where(F.col("kind") != PAGE).join(template.hint("merge"), ["host", "kind", "key"])
     kind, main = F.col("kind"), F.col("main")
     sets = {"outside": kind == OUTSIDE, "inside": kind.isin(INSIDE, INSIDE_BOX), "shells": (kind == SHELL) & ~main, "main": main}
     return materialise(held.groupBy("host", "page").agg(*[F.collect_set(F.when(x, F.col("key"))).alias(name) for name, x in sets.items()]), "templates")
 
 
+def by_host(template: DataFrame) -> dict[str, Template]:
+    """The template of each host, on the driver; for templates within BROADCAST_KEYS."""
+    out: dict[str, dict[str, set]] = {}
+    for r in template.collect():
+        name = "main" if r["main"] else {OUTSIDE: "outside", SHELL: "shells"}.get(r["kind"], "inside")
+        out.setdefault(r["host"], {}).setdefault(name, set()).add(r["key"])
+    return {host: Template(**{k: frozenset(v) for k, v in t.items()}) for host, t in out.items()}
+
+
 def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", rules: bool = True) -> DataFrame:
     """pages with the main text of each row's whole html in column out.
 
-    Null and empty html give an empty text, as does a page without prose. Character references are
-    decoded; white space inside a block is one space; blocks are joined by \\n. Repeated rows give
-    equal texts. Other columns may have any names; one named like out is replaced. Without rules the
-    template alone decides. No rows: no rows."""
-    found = templates(pages, url, html)
-    host, page, template = (fresh(pages, x) for x in ("host", "page", "template"))
-    named = pages.withColumns({host: host_of(quoted(url)), page: F.xxhash64(quoted(html))})
-    met = named.join(found.select(F.col("host").alias(host), F.col("page").alias(page), F.struct("outside", "inside", "shells", "main").alias(template)).hint("merge"), [host, page], "left")
+    Null urls share the host ''. Null and empty html give an empty text, as does a page without prose.
+    Character references are decoded; white space inside a block is one space; blocks are joined by \\n.
+    Repeated rows give equal texts. Other columns may have any names; one named like out is replaced.
+    Without rules the template alone decides. No rows: no rows.
+
+    Templates within BROADCAST_KEYS are broadcast; beyond, each page gets the part of its host's
+    template that it holds, by shuffle. The texts are the same."""
+    template = template_of_hosts(page_features(pages, url, html))
+    host, page, part = (fresh(pages, x) for x in ("host", "page", "template"))
+    met, shared = pages.withColumn(host, host_of(quoted(url))), None
+    if template.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        shared = pages.sparkSession.sparkContext.broadcast(by_host(template))
+    else:
+        found = templates(page_features(pages, url, html), template)
+        found = found.select(F.col("host").alias(host), F.col("page").alias(page), F.struct("outside", "inside", "shells", "main").alias(part))
+        met = met.withColumn(page, F.xxhash64(quoted(html))).join(found.hint("merge"), [host, page], "left")
+
+    def start():
+        known = shared.value if shared else {}
+
+        def make(batch: pa.RecordBatch) -> list[pa.Array]:
+            if shared:
+                own = [known.get(h, Template()) for h in batch.column(host).to_pylist()]
+            else:
+                own = [Template(**{k: frozenset(v) for k, v in t.items()}) if t else Template() for t in batch.column(part).to_pylist()]
+            return [pa.array([main_text(x, t, rules) if x else "" for x, t in zip(batch.column(html).to_pylist(), own, strict=True)], pa.string())]
 
-    def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        texts = []
-        for source, t in zip(batch.column(html).to_pylist(), batch.column(template).to_pylist(), strict=True):
-            own = Template(**{k: frozenset(v) for k, v in t.items()}) if t else Template()
-            texts.append(main_text(source, own, rules) if source else "")
-        return [pa.array(texts, pa.string())]
-
-    done = append_arrow(met, [StructField(out, StringType())], lambda: make, html)
-    return done.select(*[quoted(c) for c in done.columns if c not in (host, page, template)])
+        return make
+
+    done = append_arrow(met, [StructField(out, StringType())], start, html)
+    return done.select(*[quoted(c) for c in done.columns if c not in (host, page, part)])
