@@ -44,10 +44,14 @@ def top_per(rows: DataFrame, category: str, order: list, n: int) -> DataFrame:
 
 def permissions(bindings: DataFrame, members: DataFrame, granted: DataFrame) -> DataFrame:
     """user_id, scope_id, permission: from bindings (subject_type, subject_id, role, scope_id) of users and of
-    their groups, and the roles' permissions. A permission `x:*` stands for all of x."""
+    their groups, and the roles' permissions. A permission `x:*` stands for all of x; what it covers is left out."""
     direct = bindings.where("subject_type = 'user'").select(F.col("subject_id").alias("user_id"), "role", "scope_id")
     via = bindings.where("subject_type = 'group'").join(members.select(F.col("group_id").alias("subject_id"), "user_id"), "subject_id").select("user_id", "role", "scope_id")
-    return direct.union(via).distinct().join(granted, "role").select("user_id", "scope_id", "permission").distinct()
+    out = direct.union(via).distinct().join(granted, "role").select("user_id", "scope_id", "permission").distinct()
+    group = F.substring_index("permission", ":", 1)
+    wild = out.where(F.col("permission").endswith(":*")).select("user_id", "scope_id", group.alias("group"))
+    rest = out.where(~F.col("permission").endswith(":*")).withColumn("group", group).join(wild, ["user_id", "scope_id", "group"], "left_anti")
+    return rest.select(*out.columns).union(out.where(F.col("permission").endswith(":*")))
 
 
 def permission_changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -60,7 +64,21 @@ def job_summary(jobs: DataFrame) -> DataFrame:
     """status, n, success (completed of completed and failed, in %, over all jobs)."""
     done, failed = F.sum(F.when(F.col("status") == "completed", F.col("n")).otherwise(0)), F.sum(F.when(F.col("status") == "failed", F.col("n")).otherwise(0))
     by = jobs.groupBy("status").agg(F.count("*").alias("n"))
-    return by.join(F.broadcast(by.agg(F.round(100.0 * done / (done + failed), 1).alias("success"))), F.lit(True))
+    every = Window.partitionBy(F.lit(1))  # a row for each status
+    return by.withColumn("success", F.round(100.0 * done.over(every) / (done.over(every) + failed.over(every)), 1))
+
+
+def view_stats(views: DataFrame, attention: Column, recent_days: int) -> DataFrame:
+    """One row: views, those updated of late, those that need attention, the least age; in one pass."""
+    return views.agg(F.count("*").alias("total"), F.count_if(F.col("age_days") <= recent_days).alias("recent"), F.count_if(attention).alias("attention"), F.min("age_days").alias("newest"))
+
+
+def entity_search(entities: DataFrame, term: str, cap: int, limit: int) -> DataFrame:
+    """entity_type, id, score (3 equal, 2 prefix, 1 inside): at most cap of each type, limit in all."""
+    v, t = F.lower("name"), term.lower()
+    found = entities.withColumn("score", F.when(v == t, 3).when(v.startswith(t), 2).when(v.contains(t), 1)).where("score is not null")
+    capped = top_per(found, "entity_type", [F.desc("score"), F.col("name"), F.col("id")], cap)
+    return capped.orderBy(F.desc("score"), "name", "entity_type", "id").limit(limit).select("entity_type", "id", "score")
 
 
 def nearest_rank(values: DataFrame, group: str, value: str, p: float) -> DataFrame:

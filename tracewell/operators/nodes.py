@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOP_LEVEL = ("urn", "entity_type", "display_name", "level")
@@ -80,5 +80,35 @@ def edges_between(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> D
     return out.dropDuplicates(["id"]).select(edges.columns)
 
 
+def edges_page(edges: DataFrame, offset: int, limit: int) -> DataFrame:
+    return edges.orderBy("id").offset(offset).limit(limit)
+
+
+def hydrated(nodes: DataFrame, urns: DataFrame) -> DataFrame:
+    """The nodes of the urns; unknown urns give none."""
+    return nodes.join(urns.select("urn").distinct(), "urn", "left_semi")
+
+
+def envelope(page: DataFrame, offset: int, limit: int) -> DataFrame:
+    """One row for a page that was read with limit + 1 rows: rows, has_more, total (as far as known), next_cursor."""
+    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("display_name", "urn"))  # limit + 1 rows at most
+    rows = F.least(F.count("*"), F.lit(limit))
+    more = F.count("*") > limit
+    return page.withColumn("r", rank).agg(rows.alias("rows"), more.alias("has_more"), (offset + rows + F.when(more, 1).otherwise(0)).alias("total"), F.max_by("display_name", F.when(F.col("r") <= limit, F.col("r"))).alias("next_cursor"))
+
+
+def lineage_types(whitelist: list[str] | None, containment: list[str]) -> Column:
+    """Which edges are rolled up: those of the whitelist (AGGREGATED never is), else all but containment."""
+    if whitelist is not None:
+        return F.col("edge_type").isin([t for t in whitelist if t != "AGGREGATED"])
+    return ~F.col("edge_type").isin([*containment, "AGGREGATED"])
+
+
+def fingerprint(counts: DataFrame) -> DataFrame:
+    """One row: the first 16 hex digits of the SHA-256 of counts (name, n) as JSON with sorted keys."""
+    pairs = F.array_sort(F.collect_list(F.concat(F.lit('"'), F.col("name"), F.lit('":'), F.col("n").cast("string"))))
+    return counts.agg(F.substring(F.sha2(F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")), 256), 1, 16).alias("fingerprint"))
+
+
 def tag_stats(nodes: DataFrame) -> DataFrame:
     return nodes.select("entity_type", F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("entity_type")), ",").alias("entity_types"))

@@ -77,8 +77,33 @@ def type_hierarchy(nodes: DataFrame, containment: DataFrame) -> DataFrame:
 
 def allowed_children(types: DataFrame, parent: str) -> DataFrame:
     """Every type with whether the parent may contain it; allowed ones first."""
-    rule = types.where(F.col("type_id") == parent).select(F.col("can_contain").alias("rule"))
-    return types.crossJoin(F.broadcast(rule)).select("type_id", ((F.size("rule") == 0) | F.array_contains("rule", F.col("type_id"))).alias("allowed")).orderBy(F.desc("allowed"), "type_id")
+    rule = types.where(F.col("type_id") == parent).select("can_contain").first()
+    allowed = F.lit(True) if rule and not rule[0] else F.col("type_id").isin(rule[0] if rule else [])
+    return types.select("type_id", allowed.alias("allowed")).orderBy(F.desc("allowed"), "type_id")
+
+
+def derived_types(nodes: DataFrame, containment: DataFrame) -> DataFrame:
+    """type_id, can_contain (sorted), root (in no other type), as the graph has them."""
+    seen = type_hierarchy(nodes, containment).where("parent_type <> child_type")
+    inner = seen.groupBy(F.col("parent_type").alias("type_id")).agg(F.array_join(F.sort_array(F.collect_set("child_type")), ",").alias("can_contain"))
+    child = seen.select(F.col("child_type").alias("type_id"), F.lit(False).alias("root")).distinct()
+    return nodes.select(F.col("entity_type").alias("type_id")).distinct().join(inner, "type_id", "left").join(child, "type_id", "left").select("type_id", F.coalesce("can_contain", F.lit("")).alias("can_contain"), F.coalesce("root", F.lit(True)).alias("root"))
+
+
+def check_nodes(nodes: DataFrame, containment: DataFrame, types: DataFrame) -> DataFrame:
+    """urn, entity_type, error (null where valid): unknown type, or a parent that may not contain it (an
+    empty list of can_contain allows all)."""
+    parent = containment.join(nodes.select(F.col("urn").alias("parent_urn"), F.col("entity_type").alias("parent_type")), "parent_urn").select(F.col("child_urn").alias("urn"), "parent_type")
+    known = types.select(F.lower("type_id").alias("k"), F.lit(True).alias("known"))
+    rules = types.select(F.col("type_id").alias("parent_type"), F.col("can_contain").alias("rule"))
+    met = nodes.join(known, F.lower("entity_type") == F.col("k"), "left").join(parent, "urn", "left").join(rules, "parent_type", "left")
+    barred = (F.size("rule") > 0) & ~F.array_contains("rule", F.col("entity_type"))
+    return met.select("urn", "entity_type", F.when(F.col("known").isNull(), "unknown type").when(barred, "parent may not contain it").alias("error"))
+
+
+def schema_merge(types: DataFrame, stats: DataFrame) -> DataFrame:
+    """type_id, defined, n: the ontology's types and those of the graph (type_id, n), each once."""
+    return types.select("type_id", F.lit(True).alias("d")).join(stats, "type_id", "full").select("type_id", F.coalesce("d", F.lit(False)).alias("defined"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def check_edges(edges: DataFrame, nodes: DataFrame, relations: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.hierarchy import anchors_at_level, descendants_at_level
+from tracewell.operators.hierarchy import anchors_at_level, descendants_at_level, with_self
 from tracewell.sources.shared import cut
 
 
@@ -85,6 +85,33 @@ def trace_at_level(pairs: DataFrame, closure: DataFrame, nodes: DataFrame, urn:
     return seen
 
 
+def hop_pairs(pairs: DataFrame, types: list[str] | None) -> DataFrame:
+    """Rolled-up pairs that a hop may take: those made of one of the types; all, where none are given."""
+    return pairs.where(F.arrays_overlap(F.split("edge_types", ","), F.array(*map(F.lit, types)))) if types else pairs
+
+
+def with_lineage_or_ancestor(edges: DataFrame, closure: DataFrame, nodes: DataFrame) -> DataFrame:
+    """urn, anchor, dist: the nearest of the node and its ancestors that is an end of an edge; nodes with none are left out."""
+    ends = edges.select(F.col("source_urn").alias("ancestor_urn")).union(edges.select("target_urn")).distinct()
+    found = with_self(closure, nodes).join(ends, "ancestor_urn", "left_semi")
+    return found.groupBy("urn").agg(F.min_by("ancestor_urn", F.struct("dist", "ancestor_urn")).alias("anchor"), F.min("dist").alias("dist"))
+
+
+def starts_or_parents(edges: DataFrame, containment: DataFrame, starts: DataFrame, direction: str) -> DataFrame:
+    """The starts that have an edge in the direction, and the parents of the others: whose lineage they inherit."""
+    own = starts.join(arcs(edges, direction).select(F.col("at").alias("urn")).distinct(), "urn", "left_semi")
+    others = starts.join(own, "urn", "left_anti").select(F.col("urn").alias("child_urn"))
+    return own.select("urn").union(containment.join(others, "child_urn", "left_semi").select(F.col("parent_urn").alias("urn"))).distinct()
+
+
+def within_budget(reached: DataFrame, max_nodes: int) -> DataFrame:
+    """urn, depth, truncated: the nearest nodes (then by urn), and whether there were more than may be shown."""
+    first = reached.orderBy("depth", "urn").limit(max_nodes + 1)
+    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("depth", "urn"))  # max_nodes + 1 rows at most
+    n = F.count("*").over(Window.partitionBy(F.lit(1)))
+    return first.select("urn", "depth", rank.alias("r"), (n > max_nodes).alias("truncated")).where(F.col("r") <= max_nodes).drop("r")
+
+
 def expand_pair(edges: DataFrame, closure: DataFrame, nodes: DataFrame, source: str, target: str, level: int) -> DataFrame:
     """Pairs of the level's descendants of source and target with an edge between them (rolled up or raw)."""
     s, t = (descendants_at_level(closure, nodes, x, level).select("urn") for x in (source, target))

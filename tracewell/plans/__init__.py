@@ -1,3 +1,3 @@
 """The queries by name."""
 
-from tracewell.plans import administration, catalogue  # noqa: F401  (each registers its queries)
+from tracewell.plans import administration, catalogue, lineage  # noqa: F401  (each registers its queries)

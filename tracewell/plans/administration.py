@@ -136,7 +136,7 @@ def rule_layers(t):
 
 @query(f"{_JOBS}, p AS (SELECT job_id, MAX(sequence) AS processed, CAST(FLOOR(EPOCH(MAX(ts))) - FLOOR(EPOCH(MIN(ts))) AS BIGINT) AS elapsed FROM je GROUP BY 1) SELECT job_id, processed, ROUND(LEAST(100.0, 100.0::DOUBLE * processed / 40), 1)::DOUBLE AS coverage, CAST(FLOOR((elapsed * GREATEST(0, 40 - processed))::DOUBLE / processed) AS BIGINT) AS eta_seconds FROM p")
 def job_progress(t):
-    return jobs.progress(t.gapped_jobs, 40)
+    return jobs.progress(t.jobs, 40)
 
 
 _STATUS = "j AS (SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'running' ELSE 'completed' END AS status, o_orderkey % 5 AS retries, o_orderkey % 3 = 0 AS has_cursor FROM orders)"
@@ -169,19 +169,19 @@ def due_polls(t):
     return jobs.due(t.read("customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") * 60).alias("age")), config, 300, 600).select("id")
 
 
-@query("SELECT event_type AS type, COUNT(*) AS n, MIN(ts) AS oldest FROM events WHERE event_id % 7 <> 3 GROUP BY 1")
+@query("SELECT event_type AS type, COUNT(*) AS n, MIN(ts) AS oldest FROM events GROUP BY 1")
 def queue_depth(t):
-    return jobs.queue_depth(t.gapped_jobs)
+    return jobs.queue_depth(t.jobs)
 
 
 @query(f"{_JOBS} SELECT job_id, type, COUNT(*) AS n, COUNT(*) >= 3 AS dead FROM je GROUP BY 1, 2")
 def dead_letters(t):
-    return jobs.dead_letters(t.gapped_jobs)
+    return jobs.dead_letters(t.jobs)
 
 
 @query(f"{_JOBS} SELECT DATE_TRUNC('day', ts) AS start_ts, type, COUNT(*) FILTER (value <= 20) AS ok, COUNT(*) FILTER (value > 20) AS failed, ARG_MAX(value, {{'t': ts, 'e': event_id}}) AS last FROM je GROUP BY 1, 2")
 def health_counters(t):
-    return jobs.health_counters(t.gapped_jobs, F.col("value") > 20, "1 day")
+    return jobs.health_counters(t.jobs, F.col("value") > 20, "1 day")
 
 
 @query()

@@ -127,8 +127,10 @@ def schema_stats(nodes: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with rows of new added or put in place of rows with the same keys; the last of new wins by `version`."""
-    latest = new.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("version")))).where("__r = 1").drop("__r", "version")
+    """old with rows of new added or put in place of rows with the same keys; the last of new wins by
+    `version`, of equal versions the one whose columns, as JSON, come last."""
+    order = [F.desc("version"), F.desc(F.to_json(F.struct(*[c for c in new.columns if c != "version"])))]
+    latest = new.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r", "version")
     return old.join(latest.select(*keys), keys, "left_anti").unionByName(latest)
 
 

@@ -63,6 +63,19 @@ def live_state(events: DataFrame, terminal: str) -> DataFrame:
     return last.where(F.col("type") != terminal)
 
 
+def backfill(events: DataFrame, since: int) -> DataFrame:
+    """job_id, sequence, truncated: the events from a number on, and whether earlier ones are gone that it asks for."""
+    first = events.groupBy("job_id").agg(F.min("sequence").alias("first"))
+    return events.where(F.col("sequence") >= since).join(first, "job_id").select("job_id", "sequence", (F.col("first") > since).alias("truncated"))
+
+
+def trimmed(events: DataFrame, pending: DataFrame, before: str) -> DataFrame:
+    """events without those older than the given time, unless they are as new as the job's oldest pending one (job_id, sequence)."""
+    oldest = pending.groupBy("job_id").agg(F.min("sequence").alias("oldest"))
+    kept = (F.col("ts") >= F.lit(before).cast("timestamp")) | F.coalesce(F.col("sequence") >= F.col("oldest"), F.lit(False))
+    return events.join(oldest, "job_id", "left").where(kept).select(events.columns)
+
+
 def stuck(events: DataFrame, as_of: str, seconds: int) -> DataFrame:
     """Jobs without an event for so long."""
     last = events.groupBy("job_id").agg(F.max("ts").alias("last_ts"))
@@ -70,9 +83,23 @@ def stuck(events: DataFrame, as_of: str, seconds: int) -> DataFrame:
 
 
 def first_triggers(events: DataFrame, minutes: int) -> DataFrame:
-    """Events with no event of the same job and type within the minutes before them."""
-    before = F.lag("ts").over(Window.partitionBy("job_id", "type").orderBy("ts", "event_id"))
-    return events.withColumn("before", before).where(F.col("before").isNull() | (F.unix_timestamp("ts") - F.unix_timestamp("before") > 60 * minutes)).select("job_id", "type", "event_id")
+    """job_id, type, event_id: events that trigger, which are those with no trigger of the same job and type
+    within the minutes before them. An event that came too early doesn't count for the next one.
+
+    The state is one time for a job and type, so their events stream through in sorted order."""
+
+    def run(batches):
+        now, last = None, 0
+        for rows in batches:
+            fires = []
+            for key, s in zip(zip(rows.job_id, rows.type, strict=True), rows.s, strict=True):
+                fires.append(key != now or s - last > 60 * minutes)
+                if fires[-1]:
+                    now, last = key, s
+            yield rows.loc[fires, ["job_id", "type", "event_id"]]
+
+    dealt = events.select("job_id", "type", "event_id", "ts", F.unix_timestamp("ts").alias("s")).repartition("job_id", "type").sortWithinPartitions("job_id", "type", "ts", "event_id")
+    return dealt.mapInPandas(run, "job_id long, type string, event_id long")
 
 
 def tumbling(events: DataFrame, width: str, late: str = "1 hour") -> DataFrame:

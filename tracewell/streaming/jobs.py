@@ -35,6 +35,11 @@ def cached_read(age: Column, ttl: int, fresh: int, payload: Column) -> Column:
     return F.when(age.isNull(), "miss").when(age >= ttl, "expired").when(payload.isNull() | (payload == ""), "empty").when(age > fresh, "stale").otherwise("hit")
 
 
+def retry_seconds(attempt: Column) -> Column:
+    """The wait before the next attempt, without jitter: doubling from five seconds, two minutes at most."""
+    return F.least(5 * F.pow(F.lit(2), attempt), F.lit(120)).cast("long")
+
+
 def due(sources: DataFrame, config: DataFrame, least: int, default: int) -> DataFrame:
     """Sources (id, age) that are enabled and never polled or polled too long ago (config: id, enabled, every)."""
     every = F.greatest(F.coalesce("every", F.lit(default)), F.lit(least))
