@@ -39,6 +39,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 _folders: set[str] = set()
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialise wrote and that nothing will read any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows (df must be cheap to count, as a
     materialised table is); otherwise Spark joins by shuffle and may split skewed partitions."""
