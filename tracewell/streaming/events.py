@@ -41,7 +41,8 @@ def _track(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
 
 
 def stream_gaps(events: DataFrame) -> DataFrame:
-    """gaps() on a stream: the state of a job is its last number."""
+    """gaps() on a stream: the state of a job is its last number. A job's rows are put in order of time within
+    an Arrow batch; from batch to batch they count in order of arrival."""
     return events.groupBy("job_id").applyInPandasWithState(_track, GAPS, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
