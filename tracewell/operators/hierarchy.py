@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.sources.shared import cut
+
 MAX_DEPTH = 10
 
 
@@ -12,11 +14,11 @@ def closure(containment: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """urn, ancestor_urn, dist (1 .. max_depth, the shortest). Cycles end at max_depth.
 
     One join per level of the hierarchy; the loop stops at its top, so there are as many as it is deep."""
-    step = containment.select(F.col("child_urn").alias("urn"), F.col("parent_urn").alias("ancestor_urn")).distinct().persist()
+    step = cut(containment.select(F.col("child_urn").alias("urn"), F.col("parent_urn").alias("ancestor_urn")).distinct())
+    up = step.select(F.col("urn").alias("ancestor_urn"), F.col("ancestor_urn").alias("next"))
     out, now = step.withColumn("dist", F.lit(1)), step
     for dist in range(2, max_depth + 1):
-        up = step.select(F.col("urn").alias("ancestor_urn"), F.col("ancestor_urn").alias("next"))
-        now = now.join(up, "ancestor_urn").select("urn", F.col("next").alias("ancestor_urn")).distinct().persist()
+        now = cut(now.join(up, "ancestor_urn").select("urn", F.col("next").alias("ancestor_urn")).distinct())
         if now.isEmpty():
             break
         out = out.union(now.withColumn("dist", F.lit(dist)))
@@ -63,11 +65,19 @@ def descendants_at_level(closure: DataFrame, nodes: DataFrame, urn: str, level:
     return at.join(below, "urn", "left_semi").union(at.where(F.col("urn") == urn)).select("urn", "entity_type", "display_name")
 
 
-def anchors_at_level(closure: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
-    """urn, anchor: the nearest of the node and its ancestors that is of the level, else the node itself."""
+def anchors_at_level(closure: DataFrame, nodes: DataFrame, level: int, of: DataFrame | None = None) -> DataFrame:
+    """urn, anchor: the nearest of the node and its ancestors that is of the level, else the node itself; for the
+    nodes of a table, or for all."""
+    asked = nodes if of is None else of
     at = nodes.where(F.col("level") == level).select(F.col("urn").alias("ancestor_urn"))
-    found = with_self(closure, nodes).join(at, "ancestor_urn", "left_semi").groupBy("urn").agg(F.min_by("ancestor_urn", F.struct("dist", "ancestor_urn")).alias("anchor"))
-    return nodes.select("urn").join(found, "urn", "left").select("urn", F.coalesce("anchor", "urn").alias("anchor"))
+    found = with_self(closure, asked).join(at, "ancestor_urn", "left_semi").groupBy("urn").agg(F.min_by("ancestor_urn", F.struct("dist", "ancestor_urn")).alias("anchor"))
+    return asked.select("urn").join(found, "urn", "left").select("urn", F.coalesce("anchor", "urn").alias("anchor"))
+
+
+def anchor_of(closure: DataFrame, nodes: DataFrame, urn: str, level: int) -> DataFrame:
+    """urn: the anchor of one node, as anchors_at_level has it for all; no row for an unknown node."""
+    node = nodes.where(F.col("urn") == urn)
+    return anchors_at_level(closure.where(F.col("urn") == urn), nodes, level, node).select(F.col("anchor").alias("urn"))
 
 
 def anchors_at_granularity(closure: DataFrame, nodes: DataFrame, level: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators.hierarchy import anchors_at_granularity
+from tracewell.sources.shared import cut, small
 
 
 def contributions(edges: DataFrame, closure: DataFrame) -> DataFrame:
@@ -17,34 +18,70 @@ def contributions(edges: DataFrame, closure: DataFrame) -> DataFrame:
     return pairs.join(edges.select(F.col("id").alias("edge_id"), "edge_type"), "edge_id").select("source_urn", "target_urn", "edge_id", "edge_type")
 
 
-def counted(contributed: DataFrame) -> DataFrame:
-    """source_urn, target_urn, weight (edges), edge_types (sorted). An edge id counts once for a pair.
+def typed(edges: DataFrame, closure: DataFrame) -> DataFrame:
+    """source_urn, target_urn, edge_type, n: how many edges of each type a pair stands for. An edge id counts once.
 
-    The coarse pairs, to which very many edges contribute, are summed up before the shuffle."""
-    once = contributed.groupBy("source_urn", "target_urn", "edge_type").agg(F.count("*").alias("n"))
-    return once.groupBy("source_urn", "target_urn").agg(F.sum("n").alias("weight"), F.array_join(F.sort_array(F.collect_set("edge_type")), ",").alias("edge_types"))
-
-
-def rollup(edges: DataFrame, closure: DataFrame) -> DataFrame:
-    """Joins edges with the chains of both ends before counting; no edge id is needed, since ids are unique."""
+    Edges are joined with the chain of one end, summed, and joined with the chain of the other: very many edges
+    meet in the same (ancestor, target), which keeps the second join small."""
     up = closure.select("urn", "ancestor_urn")
     own = edges.dropDuplicates(["id"]).select("source_urn", "target_urn", "edge_type")
     src = own.join(up.select(F.col("urn").alias("source_urn"), F.col("ancestor_urn").alias("s")), "source_urn").select(F.col("s").alias("source_urn"), "target_urn", "edge_type").union(own)
-    # Many edges meet in the same (ancestor, target): counting here keeps the second join small.
     half = src.groupBy("source_urn", "target_urn", "edge_type").agg(F.count("*").alias("n"))
     both = half.join(up.select(F.col("urn").alias("target_urn"), F.col("ancestor_urn").alias("t")), "target_urn").select("source_urn", F.col("t").alias("target_urn"), "edge_type", "n").union(half.select("source_urn", "target_urn", "edge_type", "n"))
-    once = both.where("source_urn <> target_urn").groupBy("source_urn", "target_urn", "edge_type").agg(F.sum("n").alias("n"))
-    return once.groupBy("source_urn", "target_urn").agg(F.sum("n").alias("weight"), F.array_join(F.sort_array(F.collect_set("edge_type")), ",").alias("edge_types"))
+    return both.where("source_urn <> target_urn").groupBy("source_urn", "target_urn", "edge_type").agg(F.sum("n").alias("n"))
+
+
+def folded(typed: DataFrame) -> DataFrame:
+    """source_urn, target_urn, weight (edges), edge_types (sorted) of typed counts."""
+    return typed.groupBy("source_urn", "target_urn").agg(F.sum("n").alias("weight"), F.array_join(F.sort_array(F.collect_set("edge_type")), ",").alias("edge_types"))
+
+
+def rollup(edges: DataFrame, closure: DataFrame) -> DataFrame:
+    """The pairs that the edges and their containment make."""
+    return folded(typed(edges, closure))
+
+
+def with_levels(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pairs with source_level and target_level; null where an end is no node."""
+    at = lambda side: nodes.select(F.col("urn").alias(f"{side}_urn"), F.col("level").alias(f"{side}_level"))
+    return pairs.join(at("source"), "source_urn", "left").join(at("target"), "target_urn", "left").select(*pairs.columns, "source_level", "target_level")
+
+
+def tops(closure: DataFrame, nodes: DataFrame, level: int, inside: DataFrame | None = None) -> DataFrame:
+    """urn, top: each node's ancestors of the level, itself included; only those inside a table of urns, if given."""
+    at = nodes.where(F.col("level") == level).select(F.col("urn").alias("top"))
+    at = at if inside is None else at.join(inside.select(F.col("urn").alias("top")), "top", "left_semi")
+    return closure.select("urn", F.col("ancestor_urn").alias("top")).join(at, "top", "left_semi").select("urn", "top").union(at.select(F.col("top").alias("urn"), "top"))
+
+
+def at_levels(edges: DataFrame, closure: DataFrame, nodes: DataFrame, source_level: int, target_level: int, sources: DataFrame | None = None) -> DataFrame:
+    """source_urn, target_urn, weight of the pairs between two levels alone, without those of other levels;
+    only from the given sources (urn), if any."""
+    s = tops(closure, nodes, source_level, sources).select(F.col("urn").alias("source_urn"), F.col("top").alias("s"))
+    t = tops(closure, nodes, target_level).select(F.col("urn").alias("target_urn"), F.col("top").alias("t"))
+    own = edges.join(s, "source_urn").dropDuplicates(["id", "s"]).groupBy("s", "target_urn").agg(F.count("*").alias("n"))
+    return own.join(t, "target_urn").where("s <> t").groupBy(F.col("s").alias("source_urn"), F.col("t").alias("target_urn")).agg(F.sum("n").alias("weight"))
+
+
+def with_edges(before: DataFrame, edges: DataFrame, added: DataFrame, closure: DataFrame) -> DataFrame:
+    """typed counts after edges are added to those of before; one that was there already counts once.
+
+    Only the pairs of new edges are made; the others pass by, without a shuffle while those of new edges are few."""
+    return shifted(before, typed(added.join(edges.select("id"), "id", "left_anti"), closure))
 
 
-def without_edges(contributed: DataFrame, deleted: DataFrame) -> DataFrame:
-    """The rollup after edges (column id) are deleted: weights fall, types are rebuilt, empty pairs go."""
-    return counted(contributed.join(deleted.select(F.col("id").alias("edge_id")), "edge_id", "left_anti"))
+def without_edges(before: DataFrame, edges: DataFrame, deleted: DataFrame, closure: DataFrame) -> DataFrame:
+    """typed counts after edges (column id) are deleted: counts fall, and pairs at none go."""
+    gone = edges.join(deleted.select("id"), "id", "left_semi")
+    return shifted(before, typed(gone, closure).withColumn("n", -F.col("n")))
 
 
-def with_edges(contributed: DataFrame, added: DataFrame, closure: DataFrame) -> DataFrame:
-    """The rollup after edges are added; an edge that was there already counts once."""
-    return counted(contributed.unionByName(contributions(added, closure)).dropDuplicates(["source_urn", "target_urn", "edge_id"]))
+def shifted(before: DataFrame, delta: DataFrame) -> DataFrame:
+    """typed counts of before and delta; those at none go. Counts that delta doesn't name stay as they are."""
+    keys, delta = ["source_urn", "target_urn", "edge_type"], cut(delta)
+    named = small(delta.select(keys), delta.count())
+    changed = before.join(named, keys, "left_semi").select(*keys, "n").union(delta.select(*keys, "n")).groupBy(keys).agg(F.sum("n").alias("n")).where("n > 0")
+    return before.join(named, keys, "left_anti").select(*keys, "n").union(changed)
 
 
 def between(pairs: DataFrame, sources: list[str], targets: list[str] | None = None) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.hierarchy import anchors_at_level, descendants_at_level, with_self
-from tracewell.sources.shared import cut
+from tracewell.operators.hierarchy import anchor_of, descendants_at_level, with_self
+from tracewell.sources.shared import cut, small
 
 
 def arcs(edges: DataFrame, direction: str) -> DataFrame:
@@ -18,16 +18,18 @@ def arcs(edges: DataFrame, direction: str) -> DataFrame:
 def reach(edges: DataFrame, starts: DataFrame, direction: str, depth: int) -> DataFrame:
     """urn, depth: nodes reached from the starts (column urn) in at most depth hops, by their shortest; starts excluded.
 
-    Each hop joins the new nodes alone, and nodes seen before drop out, so cycles end."""
-    step = arcs(edges, direction).distinct()
-    seen = starts.select("urn", F.lit(0).alias("depth")).distinct()
-    front = seen
+    Each hop joins the new nodes alone, and nodes seen before drop out, so cycles end. While a counted frontier
+    is small it is broadcast, so that the edges are read once a hop and not shuffled."""
+    step = arcs(edges, direction)
+    front = seen = cut(starts.select("urn", F.lit(0).alias("depth")).distinct())
+    n = total = front.count()
     for hop in range(1, max(1, min(depth, 20)) + 1):
-        new = front.select(F.col("urn").alias("at")).join(step, "at").select(F.col("to").alias("urn")).distinct()
-        front = cut(new.join(seen, "urn", "left_anti").withColumn("depth", F.lit(hop)))
-        if front.isEmpty():
+        new = step.join(small(front.select(F.col("urn").alias("at")), n), "at").select(F.col("to").alias("urn")).distinct()
+        front = cut(new.join(small(seen.select("urn"), total), "urn", "left_anti").withColumn("depth", F.lit(hop)))
+        n = front.count()
+        if not n:
             break
-        seen = seen.union(front)
+        seen, total = seen.union(front), total + n
     return seen.where("depth > 0")
 
 
@@ -48,16 +50,17 @@ def trace_both(edges: DataFrame, containment: DataFrame, urn: DataFrame, depth:
     """urn, depth, side. Starts: the urn and its children. Each hop goes both ways from all nodes of the
     last hop, so the direction may turn; a node found both ways in a hop counts as upstream."""
     kids = containment.join(urn.select(F.col("urn").alias("parent_urn")), "parent_urn", "left_semi").select(F.col("child_urn").alias("urn"))
-    seen = urn.select("urn").union(kids).distinct().select("urn", F.lit(0).alias("depth"), F.lit("start").alias("side"))
-    front, up, down = seen, arcs(edges, "upstream"), arcs(edges, "downstream")
+    front = seen = cut(urn.select("urn").union(kids).distinct().select("urn", F.lit(0).alias("depth"), F.lit("start").alias("side")))
+    n = total = front.count()
+    both = arcs(edges, "upstream").withColumn("u", F.lit(1)).union(arcs(edges, "downstream").withColumn("u", F.lit(0)))
     for hop in range(1, depth + 1):
-        at = front.select(F.col("urn").alias("at"))
-        met = at.join(up, "at").select(F.col("to").alias("urn"), F.lit(1).alias("u")).union(at.join(down, "at").select(F.col("to").alias("urn"), F.lit(0).alias("u")))
-        new = met.groupBy("urn").agg(F.max("u").alias("u")).join(seen, "urn", "left_anti")
+        met = both.join(small(front.select(F.col("urn").alias("at")), n), "at").groupBy(F.col("to").alias("urn")).agg(F.max("u").alias("u"))
+        new = met.join(small(seen.select("urn"), total), "urn", "left_anti")
         front = cut(new.select("urn", F.lit(hop).alias("depth"), F.when(F.col("u") == 1, "upstream").otherwise("downstream").alias("side")))
-        if front.isEmpty():
+        n = front.count()
+        if not n:
             break
-        seen = seen.union(front)
+        seen, total = seen.union(front), total + n
     return seen.where("depth > 0")
 
 
@@ -69,19 +72,24 @@ def neighbourhood(edges: DataFrame, nodes: DataFrame, urn: str) -> DataFrame:
 
 
 def trace_at_level(pairs: DataFrame, closure: DataFrame, nodes: DataFrame, urn: str, level: int, up_depth: int, down_depth: int) -> DataFrame:
-    """urn, side, depth over rolled-up pairs between nodes of the level, from the urn's anchor.
-
-    Up and down have frontiers of their own but share what was visited; in a hop, up goes first."""
-    at = nodes.where(F.col("level") == level).select("urn")
-    own = pairs.join(at.withColumnRenamed("urn", "source_urn"), "source_urn", "left_semi").join(at.withColumnRenamed("urn", "target_urn"), "target_urn", "left_semi").persist()
-    start = anchors_at_level(closure, nodes, level).where(F.col("urn") == urn).select(F.col("anchor").alias("urn"))
-    seen = start.select("urn", F.lit("start").alias("side"), F.lit(0).alias("depth"))
-    fronts = {"upstream": start, "downstream": start}
+    """urn, side, depth over rolled-up pairs (with source_level, target_level) between nodes of the level, from
+    the urn's anchor.
+
+    Up and down have frontiers of their own but share what was visited; in a hop, up goes first. A side
+    stops at its first empty frontier. Only pairs of the level are read, and small frontiers are broadcast."""
+    own = pairs.where((F.col("source_level") == level) & (F.col("target_level") == level))
+    start = cut(anchor_of(closure, nodes, urn, level))
+    seen, total = start.select("urn", F.lit("start").alias("side"), F.lit(0).alias("depth")), start.count()
+    fronts = {"upstream": (start, total), "downstream": (start, total)}
     for hop in range(1, max(up_depth, down_depth) + 1):
         for side, most in (("upstream", up_depth), ("downstream", down_depth)):
-            if hop <= most:
-                new = cut(fronts[side].select(F.col("urn").alias("at")).join(arcs(own, side), "at").select(F.col("to").alias("urn")).distinct().join(seen, "urn", "left_anti"))
-                fronts[side], seen = new, seen.union(new.select("urn", F.lit(side).alias("side"), F.lit(hop).alias("depth")))
+            front, n = fronts[side]
+            if hop <= most and n:
+                new = arcs(own, side).join(small(front.select(F.col("urn").alias("at")), n), "at").select(F.col("to").alias("urn")).distinct()
+                new = cut(new.join(small(seen.select("urn"), total), "urn", "left_anti"))
+                n = new.count()
+                fronts[side], total = (new, n), total + n
+                seen = seen.union(new.select("urn", F.lit(side).alias("side"), F.lit(hop).alias("depth")))
     return seen
 
 
@@ -119,9 +127,9 @@ def expand_pair(edges: DataFrame, closure: DataFrame, nodes: DataFrame, source:
 
 
 def has_lineage_at_level(pairs: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
-    """Nodes of the level with a rolled-up edge to or from another node of it."""
+    """Whether each node of the level has a rolled-up edge (with source_level, target_level) to or from another of it."""
     at = nodes.where(F.col("level") == level).select("urn")
-    own = pairs.join(at.withColumnRenamed("urn", "source_urn"), "source_urn", "left_semi").join(at.withColumnRenamed("urn", "target_urn"), "target_urn", "left_semi")
+    own = pairs.where((F.col("source_level") == level) & (F.col("target_level") == level))
     ends = own.select(F.col("source_urn").alias("urn")).union(own.select("target_urn")).distinct()
     return at.join(ends.withColumn("has", F.lit(True)), "urn", "left").select("urn", F.coalesce("has", F.lit(False)).alias("has_lineage"))
 

@@ -9,6 +9,7 @@ from tracewell.functions import scalar
 from tracewell.operators import catalog, hierarchy, layers, nodes, ontology, rollup, traversal
 from tracewell.plans.sql import ANC, EDGES, NODES, PAIRS, with_ctes
 from tracewell.sources import graph
+from tracewell.sources.shared import stored
 from tracewell.streaming import events as ev
 
 FLAGSHIP = "domain_dataset_lineage"
@@ -16,28 +17,50 @@ _kept: dict = {}
 
 
 def kept(spark: SparkSession, d: str, name: str, make) -> DataFrame:
-    """Tables that many queries share, cached for an application and a folder."""
+    """Tables that many queries share, made once for an application and a folder."""
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _kept:
         _kept[key] = make()
-        if isinstance(_kept[key], DataFrame):
-            _kept[key] = _kept[key].persist()
     return _kept[key]
 
 
 class Tables:
+    """The graph as stored tables. The first query that needs one of them writes it."""
+
     def __init__(self, spark: SparkSession, d: str):
         self.spark, self.d = spark, d
-        self.graph = kept(spark, d, "graph", lambda: graph.from_tables(spark, d))
-        self.nodes, self.edges, self.containment = self.graph.nodes, self.graph.edges, self.graph.containment
+
+    def _stored(self, name: str, make, *partition_by: str) -> DataFrame:
+        return kept(self.spark, self.d, name, lambda: stored(make(), name, *partition_by))
+
+    @property
+    def graph(self) -> graph.Graph:
+        return kept(self.spark, self.d, "graph", lambda: graph.from_tables(self.spark, self.d))
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self._stored("nodes", lambda: self.graph.nodes, "entity_type")
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._stored("edges", lambda: self.graph.edges, "edge_type")
+
+    @property
+    def containment(self) -> DataFrame:
+        return self._stored("containment", lambda: self.graph.containment)
 
     @property
     def closure(self) -> DataFrame:
-        return kept(self.spark, self.d, "closure", lambda: hierarchy.closure(self.containment))
+        return self._stored("closure", lambda: hierarchy.closure(self.containment))
+
+    @property
+    def typed_pairs(self) -> DataFrame:
+        return self._stored("typed_pairs", lambda: rollup.typed(self.edges, self.closure))
 
     @property
     def pairs(self) -> DataFrame:
-        return kept(self.spark, self.d, "pairs", lambda: rollup.rollup(self.edges, self.closure))
+        """With source_level and target_level, by which files are pruned."""
+        return self._stored("pairs", lambda: rollup.with_levels(rollup.folded(self.typed_pairs), self.nodes), "source_level", "target_level")
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.d}/{name}.parquet")
@@ -86,9 +109,8 @@ RULES = [{"layer": "core", "priority": 5, "entity_types": ["domain"]}, {"layer":
 @query("SELECT p.source_urn, p.target_urn, p.weight FROM pairs p JOIN nodes a ON a.urn = p.source_urn AND a.level = 3 JOIN nodes b ON b.urn = p.target_urn AND b.level = 3 JOIN anc x ON x.urn = p.source_urn AND x.ancestor_urn = 'urn:lg:tpch:domain:1'", NODES, ANC, PAIRS)
 def domain_dataset_lineage(t: Tables) -> DataFrame:
     """Datasets of a domain with lineage to other datasets, and its weight."""
-    at = t.nodes.where("level = 3").select("urn")
-    inside = hierarchy.descendants(t.closure, DOMAIN, 10).join(at, "urn", "left_semi").select(F.col("urn").alias("source_urn"))
-    return t.pairs.join(inside, "source_urn", "left_semi").join(at.withColumnRenamed("urn", "target_urn"), "target_urn", "left_semi").select("source_urn", "target_urn", "weight")
+    inside = hierarchy.descendants(t.closure, DOMAIN, 10)
+    return rollup.at_levels(t.edges, t.closure, t.nodes, 3, 3, inside)
 
 
 @query("SELECT entity_type, COUNT(*) AS n FROM nodes GROUP BY 1", NODES)
@@ -301,13 +323,12 @@ def neighbourhood(t):
 
 @query("SELECT source_urn, target_urn, weight, edge_types FROM pairs", PAIRS)
 def rollup_all(t):
-    return t.pairs
+    return t.pairs.select("source_urn", "target_urn", "weight", "edge_types")
 
 
 @query("SELECT a.level AS source_level, b.level AS target_level, COUNT(*) AS n, CAST(SUM(weight) AS BIGINT) AS weight FROM pairs p JOIN nodes a ON a.urn = p.source_urn JOIN nodes b ON b.urn = p.target_urn GROUP BY 1, 2", NODES, PAIRS)
 def rollup_by_level(t):
-    at = lambda side: t.nodes.select(F.col("urn").alias(f"{side}_urn"), F.col("level").alias(f"{side}_level"))
-    return t.pairs.join(at("source"), "source_urn").join(at("target"), "target_urn").groupBy("source_level", "target_level").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    return t.pairs.groupBy("source_level", "target_level").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
 @query("SELECT source_urn, target_urn, weight FROM pairs WHERE source_urn = 'urn:lg:tpch:domain:1'", PAIRS)
@@ -317,13 +338,14 @@ def rollup_between(t):
 
 @query("SELECT source_urn, target_urn, COUNT(*) AS weight, STRING_AGG(DISTINCT edge_type, ',' ORDER BY edge_type) AS edge_types FROM contrib WHERE edge_type <> 'PRODUCES' GROUP BY 1, 2", PAIRS)
 def rollup_delete_delta(t):
-    return rollup.without_edges(rollup.contributions(t.edges, t.closure), t.edges.where("edge_type = 'PRODUCES'"))
+    return rollup.folded(rollup.without_edges(t.typed_pairs, t.edges, t.edges.where("edge_type = 'PRODUCES'"), t.closure))
 
 
 @query("SELECT source_urn, target_urn, weight, edge_types FROM pairs", PAIRS)
 def rollup_add_delta(t):
     old = t.edges.where("edge_type <> 'DERIVED_FROM'")
-    return rollup.with_edges(rollup.contributions(old, t.closure), t.edges.where("edge_type <> 'PRODUCES'"), t.closure)
+    added = t.edges.where("edge_type <> 'PRODUCES'")
+    return rollup.folded(rollup.with_edges(rollup.typed(old, t.closure), old, added, t.closure))
 
 
 @query("g AS (SELECT n.urn, COALESCE(a.ancestor_urn, n.urn) AS anchor FROM nodes n LEFT JOIN (SELECT a.* FROM anc a JOIN nodes m ON m.urn = a.ancestor_urn AND m.level = 1) a ON a.urn = n.urn AND n.level > 1) SELECT s.anchor AS source_urn, x.anchor AS target_urn, COUNT(*) AS n, LEAST(1.0, COUNT(*) / 5.0)::DOUBLE AS confidence FROM edges e JOIN g s ON s.urn = e.source_urn JOIN g x ON x.urn = e.target_urn WHERE s.anchor <> x.anchor GROUP BY 1, 2", NODES, EDGES, ANC)
