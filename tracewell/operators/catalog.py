@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalar import match_score
+from tracewell.sources.shared import cut, small
 
 
 def facet(views: DataFrame, value: Column) -> DataFrame:
@@ -81,8 +82,25 @@ def entity_search(entities: DataFrame, term: str, cap: int, limit: int) -> DataF
     return capped.orderBy(F.desc("score"), "name", "entity_type", "id").limit(limit).select("entity_type", "id", "score")
 
 
+#: Parts that each group's values are dealt into, to find the one that holds a rank.
+SLOTS = 100
+
+
 def nearest_rank(values: DataFrame, group: str, value: str, p: float) -> DataFrame:
-    """group, value at index int(n * p / 100) of its sorted values; by ranks, so no group is gathered whole."""
-    ranked = values.withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1)
-    n = values.groupBy(group).agg(F.count("*").alias("n"))
-    return ranked.join(F.broadcast(n), group).where(F.col("i") == F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)).select(group, F.col(value).alias("value"))
+    """group, value at index int(n * p / 100) of its sorted values, exactly; nulls don't count.
+
+    Approximate quantiles deal a group's values into SLOTS; their counts tell which slot holds the index, and
+    only that one's values, equal ones as one row, are put in order. So a task sorts about a hundredth of a group."""
+    own = values.select(F.col(group).alias("g"), F.col(value).alias("v")).where("v is not null")
+    marks = [i / SLOTS for i in range(1, SLOTS)]
+    # Kept, as another computation might give other quantiles.
+    groups = cut(own.groupBy(F.col("g").alias("k")).agg(F.percentile_approx("v", marks).alias("marks"), F.count("*").alias("n")))
+    slot = F.size(F.filter("marks", lambda m: m < F.col("v")))
+    dealt = own.join(small(groups, groups.count()), F.col("g").eqNullSafe(F.col("k"))).select("g", "v", "n", slot.alias("slot"))
+    upto = F.sum("m").over(Window.partitionBy("g").orderBy("slot"))
+    sizes = dealt.groupBy("g", "n", "slot").agg(F.count("*").alias("m")).withColumn("upto", upto)
+    at = F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1) - (F.col("upto") - F.col("m"))
+    held = cut(sizes.withColumn("i", at).where("i >= 0 AND i < m").select(F.col("g").alias("k"), F.col("slot").alias("s"), "i"))
+    picked = dealt.join(small(held, held.count()), F.col("g").eqNullSafe(F.col("k")) & (F.col("slot") == F.col("s"))).groupBy("g", "i", "v").agg(F.count("*").alias("m"))
+    ranked = picked.withColumn("upto", F.sum("m").over(Window.partitionBy("g").orderBy("v")))
+    return ranked.where("i >= upto - m AND i < upto").select(F.col("g").alias(group), F.col("v").alias("value"))
