@@ -112,3 +112,22 @@ def test_scores_clashing_columns_and_no_rows(spark):
     assert pii.scan(df.limit(0)).count() == 0
     models = secrets.fit(df.limit(0))
     assert secrets.scan(df.limit(0), models).count() == 0 and secrets.scan(df, models).columns.count("spans") == 1
+
+
+def test_context_of_very_many_matches(spark):
+    """Scores of matches in all groups of places, those at their edges too, against the text before each."""
+    import random
+
+    draw = random.Random(3)
+    parts = ["a@b.cd", " ", "e-mail ", "card: ", "+49 30 1234567", "10.0.0.1 ", "host ", "ü" * 30 + " ", "call ", "555-123-4567 ", "\x01", "x" * 50 + " "]
+    texts = ["".join(draw.choices(parts, k=n)) for n in (10, 900, 4000)] + ["1@2.3," * (2 * pii.GROUP + 1), "mail a@b.c " * 600]
+    rows = pii.scan(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()
+    kinds, seen = {k.name: k for k in pii.KINDS}, 0
+    for r in rows:
+        text = texts[r["doc_id"]]
+        for s in r["spans"]:
+            k = kinds[s["kind"]]
+            near = re.search(rf"(?i)\b(?:{k.words})\b", text[max(0, s["start"] - pii.NEAR) : s["start"]], re.ASCII)
+            assert round(s["score"], 6) == round(k.base + (pii.BONUS if near else 0), 6), (r["doc_id"], s)
+            seen += bool(near)
+    assert seen > 500 and len(rows[3]["spans"]) == 2 * pii.GROUP + 1

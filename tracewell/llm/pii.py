@@ -76,19 +76,27 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(clean, pattern, f"{OPEN}$0{CLOSE}"), OPEN, -1)
 
 
+SPANS = "array<struct<start:int,value:string,near:string>>"
+
+
 def places(parts: Column) -> Column:
-    """start and value of each match, from pieces. The places are summed up in groups of GROUP, so the
-    work stays near linear in texts with very many matches."""
+    """start and value of each match, from pieces, and near: the NEAR code points before it. The places are
+    summed up in groups of GROUP and the text before goes along, so that nothing looks for a place in
+    the text and the work stays near linear in texts with very many matches."""
     n = F.size(parts) - 1
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,value:string>>)").alias("m"))
+    last = lambda x: F.right(F.replace(x, F.lit(CLOSE), F.lit("")), F.lit(NEAR))
+    # A piece has a code point at least, so NEAR pieces hold what is near the first match of a group.
+    before = lambda g: last(F.array_join(F.slice(parts, F.greatest(g * GROUP + 2 - NEAR, F.lit(1)), F.least(g * GROUP + 1, F.lit(NEAR))), ""))
+    start = lambda g: F.struct(F.lit(0).alias("at"), before(g).alias("tail"), F.expr(f"CAST(array() AS {SPANS})").alias("m"))
     match = lambda x: F.substring_index(x, CLOSE, 1)
-    one = lambda a, x: F.struct((a["at"] + F.length(x) - 1).alias("at"), F.concat(a["m"], F.array(F.struct(a["at"].alias("start"), match(x).alias("value")))).alias("m"))
-    within = lambda g: F.aggregate(F.slice(parts, g * GROUP + 2, GROUP), start, one)
+    found = lambda a, x: F.struct(a["at"].alias("start"), match(x).alias("value"), a["tail"].alias("near"))
+    one = lambda a, x: F.struct((a["at"] + F.length(x) - 1).alias("at"), last(F.concat(a["tail"], x)).alias("tail"), F.concat(a["m"], F.array(found(a, x))).alias("m"))
+    within = lambda g: F.aggregate(F.slice(parts, g * GROUP + 2, GROUP), start(g), one)
     groups = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / GROUP).cast("int")), within)
-    outer = F.struct(F.length(F.element_at(parts, 1)).alias("at"), F.expr("CAST(array() AS array<array<struct<start:int,value:string>>>)").alias("m"))
-    moved = lambda a, g: F.transform(g["m"], lambda s: F.struct((s["start"] + a["at"]).alias("start"), s["value"].alias("value")))
+    outer = F.struct(F.length(F.element_at(parts, 1)).alias("at"), F.expr(f"CAST(array() AS array<{SPANS}>)").alias("m"))
+    moved = lambda a, g: F.transform(g["m"], lambda s: F.struct((s["start"] + a["at"]).alias("start"), s["value"].alias("value"), s["near"].alias("near")))
     joined = lambda a, g: F.struct((a["at"] + g["at"]).alias("at"), F.concat(a["m"], F.array(moved(a, g))).alias("m"))
-    return F.when(n > 0, F.flatten(F.aggregate(groups, outer, joined)["m"])).otherwise(F.expr("CAST(array() AS array<struct<start:int,value:string>>)"))
+    return F.when(n > 0, F.flatten(F.aggregate(groups, outer, joined)["m"])).otherwise(F.expr(f"CAST(array() AS {SPANS})"))
 
 
 def scan(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
@@ -105,13 +113,12 @@ def scan(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
         work = work.withColumn(name, F.when(F.contains(body, F.lit(k.needs)), parts).otherwise(F.array(F.lit(""))) if k.needs else parts)
     for k, name in zip(KINDS, names, strict=True):
         work = work.withColumn(name, F.when(F.size(name) > 1, places(F.col(name))))
-    return work.withColumn(out, F.concat(*[confirmed(k, F.col(name), body) for k, name in zip(KINDS, names, strict=True)])).drop(*names)
+    return work.withColumn(out, F.concat(*[confirmed(k, F.col(name)) for k, name in zip(KINDS, names, strict=True)])).drop(*names)
 
 
-def confirmed(kind: Kind, proposed: Column, body: Column) -> Column:
+def confirmed(kind: Kind, proposed: Column) -> Column:
     """The proposed spans of a kind that are valid and score enough."""
-    near = lambda s: F.substring(body, F.greatest(s["start"] + 1 - NEAR, F.lit(1)), F.least(s["start"], F.lit(NEAR)))
-    score = lambda s: F.lit(kind.base) + F.when(near(s).rlike(rf"(?i)\b(?:{kind.words})\b"), F.lit(BONUS)).otherwise(F.lit(0.0))
+    score = lambda s: F.lit(kind.base) + F.when(s["near"].rlike(rf"(?i)\b(?:{kind.words})\b"), F.lit(BONUS)).otherwise(F.lit(0.0))
     valid = F.filter(proposed, lambda s: kind.valid(s["value"]))
     spans = F.transform(valid, lambda s: F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), (s["start"] + F.length(s["value"])).alias("end"), score(s).alias("score")))
     return F.filter(F.coalesce(spans, F.expr("CAST(array() AS array<struct<kind:string,start:int,end:int,score:double>>)")), lambda s: s["score"] >= LEAST)
