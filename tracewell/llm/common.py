@@ -89,14 +89,19 @@ def sizes_of(array: pa.Array) -> list[int]:
     return (pc.list_value_length(array) if is_list else pc.binary_length(array)).fill_null(0).to_pylist()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of rows in a batch to BATCH_ROWS."""
+    if not 0 < int(spark.conf.get(BATCH_KEY, "0")) <= BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+
 def append_arrow(df: DataFrame, fields: list[StructField], start: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], sized: str | None = None) -> DataFrame:
     """df with more columns, made in Python; start() runs once per task. A batch goes in slices by the
     bytes of column sized (one of texts or lists), so that long texts don't meet in memory. For the same
     reason the session's limit of rows in a batch is lowered to BATCH_ROWS.
 
     Columns of df whose names clash with the new ones give way to them."""
-    if not 0 < int(df.sparkSession.conf.get(BATCH_KEY, "0")) <= BATCH_ROWS:
-        df.sparkSession.conf.set(BATCH_KEY, BATCH_ROWS)
+    small_batches(df.sparkSession)
     new = {f.name for f in fields}
     names = [c for c in df.columns if c not in new]
     kept = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)])  # mapInArrow can't have dots in names

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bitsliced, bpe, ctw, decontam, html, langid, linededup, pii, secrets, simhash
+from tracewell.llm import bitsliced, bpe, ctw, decontam, html, langid, linededup, pii, secrets, simhash, whitening
 from tracewell.llm.common import crc_mod
 
 
@@ -84,6 +84,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(maps.hint("merge"), "doc_id", "left").select("doc_id", linededup.n_lines(F.col("text")).alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    models = whitening.fit(vectors)
+    error = whitening.identity_error(vectors, models)
+    rows = whitening.whiten(vectors, models)
+    each = rows.select("vec_id", "n", F.col("deviation").alias("deviation_exact"), F.posexplode(F.arrays_zip("whitened", "explained")).alias("pos", "c"))
+    return each.select("vec_id", (F.col("pos") + 1).alias("component"), "n", F.expr("try_cast(deviation_exact AS long)").alias("deviation"), "c.whitened", "c.explained", F.lit(error).alias("identity_error"), "deviation_exact")
+
+
 OP4_SQL = r"""
 WITH v AS (SELECT vec_id, LIST_TRANSFORM(embedding, lambda x: CAST(FLOOR(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND LEN(LIST_FILTER(embedding, lambda x: x IS NULL OR NOT ISFINITE(x))) = 0),
@@ -107,7 +116,7 @@ FROM f GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_html, op4_top_k, op5_lm_score, op6_bpe, op7_secrets, op8_decontaminate, op9_pii, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_html, op4_top_k, op5_lm_score, op6_bpe, op7_secrets, op8_decontaminate, op9_pii, op10_line_dedup, op13_whiten)}
 
 
 def oracle_sql() -> dict[str, str]:
