@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bitsliced, bpe, ctw, decontam, html, langid, linededup, pii, secrets, simhash, whitening
+from tracewell.llm import bitsliced, bpe, ctw, decontam, html, langid, linededup, pii, secrets, sharding, simhash, whitening
 from tracewell.llm.common import crc_mod
 
 
@@ -84,6 +84,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(maps.hint("merge"), "doc_id", "left").select("doc_id", linededup.n_lines(F.col("text")).alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op12_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), 16)
+
+
 def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     models = whitening.fit(vectors)
@@ -116,7 +120,7 @@ FROM f GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_html, op4_top_k, op5_lm_score, op6_bpe, op7_secrets, op8_decontaminate, op9_pii, op10_line_dedup, op13_whiten)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_html, op4_top_k, op5_lm_score, op6_bpe, op7_secrets, op8_decontaminate, op9_pii, op10_line_dedup, op12_shard, op13_whiten)}
 
 
 def oracle_sql() -> dict[str, str]:
