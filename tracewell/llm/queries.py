@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bitsliced, bpe, ctw, decontam, html, langid, linededup, pii, secrets, sharding, simhash, whitening
+from tracewell.llm import bitsliced, bpe, ctw, decontam, hardneg, html, langid, linededup, pii, secrets, sharding, simhash, whitening
 from tracewell.llm.common import crc_mod
 
 
@@ -84,6 +84,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(maps.hint("merge"), "doc_id", "left").select("doc_id", linededup.n_lines(F.col("text")).alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hardneg.mine(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op12_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 16)
 
@@ -106,6 +112,21 @@ r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+OP11_SQL = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  LIST_TRANSFORM(embedding, lambda x: CAST(FLOOR(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND label IS NOT NULL AND LEN(LIST_FILTER(embedding, lambda x: x IS NULL OR NOT ISFINITE(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.label = a.label AS same, c.vec_id,
+             CAST(LIST_SUM(LIST_TRANSFORM(RANGE(1, LEN(a.v) + 1), lambda i: a.v[i] * c.v[i])) AS BIGINT) AS score
+      FROM v a JOIN v c ON c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY ROW_NUMBER() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(ROW_NUMBER() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 OP10_SQL = r"""
 WITH l AS (SELECT doc_id, UNNEST(ls) AS line, UNNEST(RANGE(LEN(ls))) AS pos
            FROM (SELECT doc_id, STRING_SPLIT(COALESCE(text, ''), CHR(10)) AS ls FROM documents)),
@@ -120,8 +141,8 @@ FROM f GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_html, op4_top_k, op5_lm_score, op6_bpe, op7_secrets, op8_decontaminate, op9_pii, op10_line_dedup, op12_shard, op13_whiten)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_html, op4_top_k, op5_lm_score, op6_bpe, op7_secrets, op8_decontaminate, op9_pii, op10_line_dedup, op11_hard_negatives, op12_shard, op13_whiten)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_top_k": OP4_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op4_top_k": OP4_SQL, "op10_line_dedup": OP10_SQL, "op11_hard_negatives": OP11_SQL}
