@@ -181,12 +181,12 @@ def containment_normalised(t):
     return graph.normalise_containment(e, ["contains", "BELONGS_TO"]).select("parent_urn", "child_urn")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM orders UNION ALL SELECT -o_orderkey, 1.0 FROM orders WHERE o_orderstatus = 'P'")
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM orders UNION ALL SELECT -1 - o_orderkey, 1.0 FROM orders WHERE o_orderstatus = 'P'")
 def orders_upserted(t):
     o = t.read("orders")
     old = o.select("o_orderkey", "o_totalprice")
     closed = o.where("o_orderstatus = 'F'").select("o_orderkey")
-    new = closed.select("o_orderkey", F.lit(9.0).alias("o_totalprice"), F.lit(1).alias("version")).union(closed.select("o_orderkey", F.lit(0.0), F.lit(2))).union(o.where("o_orderstatus = 'P'").select(-F.col("o_orderkey"), F.lit(1.0), F.lit(1)))
+    new = closed.select("o_orderkey", F.lit(9.0).alias("o_totalprice"), F.lit(1).alias("version")).union(closed.select("o_orderkey", F.lit(0.0), F.lit(2))).union(o.where("o_orderstatus = 'P'").select(-1 - F.col("o_orderkey"), F.lit(1.0), F.lit(1)))
     return graph.upsert(old, new, ["o_orderkey"])
 
 

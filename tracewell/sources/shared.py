@@ -18,11 +18,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and kept as a checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df, computed once and read from there, which cuts the plan of an iteration: a stored table, so later
+    steps read the columns they need and know its size."""
+    return stored(df, "cut")
 
 
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
