@@ -50,3 +50,25 @@ def test_repeats_nulls_and_no_rows(spark):
     got = bitsliced.top_k(df, df.where("vec_id = 1 or vec_id is null"), 5)
     assert [tuple(r) for r in got.orderBy("rank").collect()] == [(1, 1, 2, 2 * 1024 * 1024), (1, 2, 2, 2 * 1024 * 1024)]
     assert bitsliced.top_k(df.limit(0), df, 5).count() == bitsliced.top_k(df, df.limit(0), 5).count() == 0
+
+
+def test_large_components_are_exact(spark):
+    """Scores beyond what 63 bits of planes hold, up to the edge of a long; also components that are no long at all."""
+    rows = [(0, [2.0e6, 2.0e6, 1.0, 0.0]), (1, [1.0e6, 5.0e5, 3.0, 0.0]), (2, [-2.0e6, -1.0e6, 0.0, 0.0]), (3, [0.0, 0.0, 7.0, 1e300]), (4, [0.0, 2.1e6, 0.0, -1e30])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = {i: [int(x) * 1024 for x in v] for i, v in rows}
+    for q in (0, 1):
+        want = sorted((-sum(a * b for a, b in zip(exact[q], c, strict=True)), i) for i, c in exact.items() if i != q)
+        assert all(abs(s) < 1 << 63 for s, _ in want)
+        got = bitsliced.top_k(df, df.where(F.col("vec_id") == q), 10).orderBy("rank").collect()
+        assert [(-r.score, r.vec_id) for r in got] == want
+
+
+def test_score_that_fits_no_long(spark):
+    """It ends the query where it belongs to the result, and only there."""
+    rows = [(0, [2.0e6] * 4), (1, [1.0] * 4), (2, [-2.0e6] * 4), (3, [2.0e6] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit a long"):
+        bitsliced.top_k(df, df.where("vec_id = 0"), 1).collect()
+    few = df.where("vec_id <> 3")
+    assert [tuple(r) for r in bitsliced.top_k(few, few.where("vec_id = 0"), 1).collect()] == [(0, 1, 1, 4 * 1024 * 1024 * 2_000_000)]

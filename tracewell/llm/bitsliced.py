@@ -18,13 +18,12 @@ and query k rows are left; a rank over the query merges them.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from tracewell.llm.common import materialise
+from tracewell.llm.common import materialise, packed, quantised, unpacked
 
 SCALE = 1024
 BLOCK = 8192
@@ -32,21 +31,18 @@ BLOCK = 8192
 QUERIES = 256
 #: Groups of blocks for each shuffle partition.
 GROUPS = 4
-#: Quantised components must be smaller than this; others fail.
-LARGEST = 1 << 31
 
-BLOCKS = StructType([StructField("part", IntegerType()), StructField("seq", IntegerType()), StructField("dims", IntegerType()), StructField("bits", IntegerType()), StructField("ids", BinaryType()), StructField("low", BinaryType()), StructField("slices", BinaryType())])
-QBLOCKS = StructType([StructField("dims", IntegerType()), StructField("ids", BinaryType()), StructField("weights", BinaryType())])
-HITS = StructType([StructField("query_id", LongType()), StructField("vec_id", LongType()), StructField("score", LongType())])
+BLOCKS = StructType([StructField("part", IntegerType()), StructField("seq", IntegerType()), StructField("dims", IntegerType()), StructField("bits", IntegerType()), StructField("ids", BinaryType()), StructField("kind", StringType()), StructField("low", BinaryType()), StructField("slices", BinaryType())])
+QBLOCKS = StructType([StructField("dims", IntegerType()), StructField("ids", BinaryType()), StructField("q_kind", StringType()), StructField("weights", BinaryType())])
+HITS = StructType([StructField("query_id", LongType()), StructField("vec_id", LongType()), StructField("score", LongType()), StructField("over", BooleanType())])
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """vec_id, v (quantised) of rows whose id and components are all there and finite."""
+    """vec_id, v (doubles) of rows whose id and components are all there and finite."""
     v = F.transform(F.col(embedding), lambda x: x.cast("double"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).where(finite)
-    whole = lambda x: F.when(F.abs(x * SCALE) < LARGEST, F.floor(x * SCALE)).otherwise(F.raise_error(F.lit("a component is too large to quantise")).cast("long"))
-    return rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(v, whole).alias("v"))
+    return rows.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
 
 
 def pack(bits: np.ndarray) -> np.ndarray:
@@ -56,11 +52,12 @@ def pack(bits: np.ndarray) -> np.ndarray:
 
 
 def sliced(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """low [dims], slices [dims, bits, words] of values [rows, dims]."""
+    """low [dims], slices [dims, bits, words] of whole values [rows, dims]."""
     low = values.min(0) if len(values) else np.zeros(values.shape[1], np.int64)
     above = (values - low).T
     bits = max(1, int(above.max(initial=0)).bit_length())
-    return low, pack(((above[:, None, :] >> np.arange(bits)[None, :, None]) & 1).astype(bool))
+    planes = [pack(((above >> b) & 1).astype(bool)) for b in range(bits)]
+    return low, np.ascontiguousarray(np.stack(planes, 1))
 
 
 def add_up(column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +84,8 @@ def scores(weights: np.ndarray, low: np.ndarray, slices: np.ndarray) -> tuple[li
     size, negative = np.abs(weights), weights < 0
     # w * u with w < 0 is |w| * (full - u) - |w| * full, and full - u is the complement of u's slices
     source = slices ^ np.where(negative, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))[:, None, None]
-    shift = int(weights @ low) - int(size[negative].sum()) * ((1 << bits) - 1)
-    digits = [np.flatnonzero((size >> i) & 1) for i in range(int(size.max(initial=0)).bit_length())]
+    shift = sum(int(w) * int(x) for w, x in zip(weights, low, strict=True)) - sum(map(int, size[negative])) * ((1 << bits) - 1)
+    digits = [np.flatnonzero(((size >> i) & 1).astype(bool)) for i in range(int(size.max(initial=0)).bit_length())]
     planes, carried, i = [], np.zeros((0, words), np.uint64), 0
     while i < bits + len(digits) or len(carried):
         column = np.concatenate([carried, *[source[d, i - n] for n, d in enumerate(digits) if 0 <= i - n < bits]])
@@ -124,15 +121,18 @@ def top_rows(planes: list[np.ndarray], alive: np.ndarray, k: int) -> np.ndarray:
 
 
 def values_at(planes: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """The rows' numbers: int64 where they fit, else Python integers."""
     word, bit = rows // 64, (rows % 64).astype(np.uint64)
-    return sum((((p[word] >> bit) & np.uint64(1)).astype(np.int64) << i for i, p in enumerate(planes)), np.zeros(len(rows), np.int64))
+    wide = len(planes) > 62
+    digit = lambda p: ((p[word] >> bit) & np.uint64(1)).astype(np.int64).astype(object if wide else np.int64)
+    return sum((digit(p) * (1 << i) for i, p in enumerate(planes)), np.zeros(len(rows), object if wide else np.int64))
 
 
-def block_top(weights: np.ndarray, query_id: int, ids: np.ndarray, low: np.ndarray, slices: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """vec_ids and scores of the block's k best rows for a query; ids rise."""
+def block_top(weights: np.ndarray, query_id: int, ids: np.ndarray, low: np.ndarray, slices: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+    """vec_ids and scores (Python integers) of the block's k best rows for a query; ids rise."""
     planes, shift = scores(weights, low, slices)
     rows = top_rows(planes, pack((ids != query_id)[None])[0], k)
-    return ids[rows], values_at(planes, rows) + shift
+    return ids[rows], [int(x) + shift for x in values_at(planes, rows)]
 
 
 def matrices(batches, most: int):
@@ -149,7 +149,8 @@ def matrices(batches, most: int):
 
 def as_arrays(rows: list) -> tuple[np.ndarray, np.ndarray]:
     rows.sort(key=lambda r: r[0])
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64).reshape(len(rows), -1)
+    values = quantised([r[1] for r in rows], SCALE)
+    return np.array([r[0] for r in rows], np.int64), values if values.dtype == object else values.astype(np.int64)
 
 
 def index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -162,7 +163,8 @@ def index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
         for seq, rows in enumerate(matrices(batches, BLOCK)):
             ids, values = as_arrays(rows)
             low, slices = sliced(values)
-            yield pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "dims": values.shape[1], "bits": slices.shape[1], "ids": ids.tobytes(), "low": low.tobytes(), "slices": slices.tobytes()}], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("dims", pa.int32()), ("bits", pa.int32()), ("ids", pa.binary()), ("low", pa.binary()), ("slices", pa.binary())]))
+            kind, data = packed(low)
+            yield pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "dims": values.shape[1], "bits": slices.shape[1], "ids": ids.tobytes(), "kind": kind, "low": data, "slices": slices.tobytes()}], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("dims", pa.int32()), ("bits", pa.int32()), ("ids", pa.binary()), ("kind", pa.string()), ("low", pa.binary()), ("slices", pa.binary())]))
 
     return materialise(usable(vectors, vec_id, embedding).mapInArrow(build, BLOCKS), "bit_slices")
 
@@ -171,7 +173,8 @@ def query_blocks(queries: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     def build(batches):
         for rows in matrices(batches, QUERIES):
             ids, values = as_arrays(rows)
-            yield pa.RecordBatch.from_pylist([{"dims": values.shape[1], "ids": ids.tobytes(), "weights": values.tobytes()}], schema=pa.schema([("dims", pa.int32()), ("ids", pa.binary()), ("weights", pa.binary())]))
+            kind, data = packed(values)
+            yield pa.RecordBatch.from_pylist([{"dims": values.shape[1], "ids": ids.tobytes(), "q_kind": kind, "weights": data}], schema=pa.schema([("dims", pa.int32()), ("ids", pa.binary()), ("q_kind", pa.string()), ("weights", pa.binary())]))
 
     once = usable(queries, vec_id, embedding).groupBy("vec_id").agg(F.min("v").alias("v"))
     return materialise(once.mapInArrow(build, QBLOCKS), "query_blocks")
@@ -183,24 +186,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "ve
     All, if there are fewer; ties to the smaller vec_id; a query's own vec_id is no candidate.
     Null ids, null vectors and vectors with a null or non-finite component take no part; vectors
     meet only those of as many dimensions; empty vectors score 0. Rows that repeat a vec_id count
-    once each as candidates; queries that repeat an id are one query, with the smallest quantised
-    vector. Empty tables: no rows."""
+    once each as candidates; queries that repeat an id are one query, with the smallest vector. Components
+    of any size are exact; a score of the result that fits no long ends the query. Empty tables: no rows."""
     blocks = index(vectors, vec_id, embedding)
     asked = query_blocks(queries, vec_id, embedding)
     groups = max(1, min(blocks.count(), GROUPS * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     dealt = blocks.withColumn("group", F.pmod(F.col("part") + F.col("seq"), F.lit(groups)))
-    sent = asked.select("dims", F.col("ids").alias("q_ids"), "weights", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    sent = asked.select("dims", F.col("ids").alias("q_ids"), "q_kind", "weights", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     met = dealt.join(sent, ["group", "dims"])
 
     def search(batches):
         for batch in batches:
             for r in (x for i in range(batch.num_rows) for x in batch.slice(i, 1).to_pylist()):
-                ids, low, asked_ids = (np.frombuffer(r[c], np.int64) for c in ("ids", "low", "q_ids"))
+                ids, asked_ids = (np.frombuffer(r[c], np.int64) for c in ("ids", "q_ids"))
+                low, weights = unpacked(r["kind"], r["low"], r["dims"]), unpacked(r["q_kind"], r["weights"], len(asked_ids), r["dims"])
                 slices = np.frombuffer(r["slices"], np.uint64).reshape(r["dims"], r["bits"], -1)
-                found = [(q, *block_top(w, q, ids, low, slices, k)) for q, w in zip(asked_ids, np.frombuffer(r["weights"], np.int64).reshape(len(asked_ids), r["dims"]), strict=True)]
-                out = pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
-                yield pa.RecordBatch.from_pandas(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]), preserve_index=False)
+                found = [(q, *block_top(w, q, ids, low, slices, k)) for q, w in zip(asked_ids, weights, strict=True)]
+                exact = [s for f in found for s in f[2]]
+                fit = [min(max(s, -(1 << 63)), (1 << 63) - 1) for s in exact]
+                columns = (np.repeat([f[0] for f in found], [len(f[1]) for f in found]), np.concatenate([f[1] for f in found]), fit, [a != b for a, b in zip(exact, fit, strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["query_id", "vec_id", "score", "over"])
 
     hits = met.mapInArrow(search, HITS)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.when(F.col("over"), F.raise_error(F.lit("a score does not fit a long")).cast("long")).otherwise(F.col("score")).alias("score"))

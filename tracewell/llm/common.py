@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -139,3 +140,28 @@ def mix64(x: np.ndarray, c: int) -> np.ndarray:
     """A multiplicative 64-bit hash; its upper bits are the well mixed ones."""
     x = (x ^ (x >> np.uint64(29))) * np.uint64(c)
     return x ^ (x >> np.uint64(32))
+
+
+#: Whole numbers below this are exact in a double.
+EXACT = 1 << 53
+
+
+def quantised(values: list[list[float]], scale: int) -> np.ndarray:
+    """floor(scale * x) of rows of doubles: doubles where they hold it exactly, else Python integers."""
+    c = np.array(values, float).reshape(len(values), -1)
+    if np.abs(c).max(initial=0) < EXACT // scale:
+        return np.floor(c * scale)
+    return np.array([[math.floor(x * scale) if abs(x) < EXACT else int(x) * scale for x in row] for row in c.tolist()], object).reshape(c.shape)
+
+
+def packed(x: np.ndarray) -> tuple[str, bytes]:
+    """Whole numbers (of any type) in the least integer type that holds them; digits where none does."""
+    most = np.abs(x).max(initial=0)
+    kind = next((k for k, n in (("int8", 1 << 7), ("int16", 1 << 15), ("int32", 1 << 31), ("int64", 1 << 62)) if most < n), "digits")
+    return kind, " ".join(map(str, x.ravel())).encode() if kind == "digits" else x.astype(kind).tobytes()
+
+
+def unpacked(kind: str, data: bytes, *shape: int) -> np.ndarray:
+    """What packed() made, as int64 or Python integers."""
+    x = np.array([int(d) for d in data.split()], object) if kind == "digits" else np.frombuffer(data, kind).astype(np.int64)
+    return x.reshape(shape)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialise, quoted, small_batches
+from tracewell.llm.common import EXACT, materialise, packed, quantised, quoted, small_batches, unpacked
 
 SCALE = 256
 #: Rows of a tree and, at most, of a leaf.
@@ -37,19 +37,13 @@ BLOCK, LEAF = 8192, 256
 ANCHORS = 256
 #: Groups of blocks for each shuffle partition.
 GROUPS = 4
-#: Whole numbers below this are exact in a double.
-EXACT = 1 << 53
 POSITIVES, NEGATIVES = 5, 10
 #: A negative's score is between these shares (in hundredths) of the positive's.
 LOW, HIGH = 30, 90
 
 
 def whole(values: list[list[float]]) -> np.ndarray:
-    """floor(256 * x): doubles where they are exact, else Python integers."""
-    c = np.array(values, float).reshape(len(values), -1)
-    if np.abs(c).max(initial=0) < EXACT // SCALE:
-        return np.floor(c * SCALE)
-    return np.array([[math.floor(x * SCALE) if abs(x) < EXACT else int(x) * SCALE for x in row] for row in c.tolist()], object)
+    return quantised(values, SCALE)
 
 
 def scores(rows: np.ndarray, anchors: np.ndarray) -> np.ndarray:
@@ -203,19 +197,10 @@ def runs(batches, most: int) -> Iterator[list[dict]]:
     yield from held.values()
 
 
-def packed(x: np.ndarray) -> tuple[str, bytes]:
-    """Whole numbers in the least type that holds them; digits where none does."""
-    if x.dtype == object:
-        return "digits", " ".join(map(str, x.ravel())).encode()
-    most = np.abs(x).max(initial=0)
-    kind = next(k for k, n in (("int8", 1 << 7), ("int16", 1 << 15), ("int32", 1 << 31), ("int64", 1 << 62)) if most < n)
-    return kind, x.astype(kind).tobytes()
-
-
-def unpacked(kind: str, data: bytes, dims: int, n: int) -> np.ndarray:
-    if kind == "digits":
-        return np.array([int(x) for x in data.split()], object).reshape(n, dims)
-    return np.frombuffer(data, kind).astype(float).reshape(n, dims)
+def numbers(kind: str, data: bytes, dims: int, n: int) -> np.ndarray:
+    """Doubles, or Python integers where those are not exact."""
+    x = unpacked(kind, data, n, dims)
+    return x if x.dtype == object else x.astype(float) if np.abs(x).max(initial=0) < EXACT else x.astype(object)
 
 
 TREES = "part int, seq int, dims int, kind string, ids binary, labels binary, rows binary, vantage binary, near binary, far binary, cuts binary"
@@ -244,7 +229,7 @@ def index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
 
 def tree_of(row: dict) -> Tree:
     ids = np.frombuffer(row["ids"], np.int64)
-    return Tree(ids, np.frombuffer(row["labels"], np.int64), unpacked(row["kind"], row["rows"], row["dims"], len(ids)), np.frombuffer(row["vantage"], np.int64), np.frombuffer(row["near"]).reshape(-1, 2), np.frombuffer(row["far"]).reshape(-1, 2), np.frombuffer(row["cuts"], np.int64))
+    return Tree(ids, np.frombuffer(row["labels"], np.int64), numbers(row["kind"], row["rows"], row["dims"], len(ids)), np.frombuffer(row["vantage"], np.int64), np.frombuffer(row["near"]).reshape(-1, 2), np.frombuffer(row["far"]).reshape(-1, 2), np.frombuffer(row["cuts"], np.int64))
 
 
 def sent(anchors: DataFrame) -> DataFrame:
@@ -274,7 +259,7 @@ def searched(trees: DataFrame, blocks: DataFrame, groups: int, same_label: bool,
                 ids = np.frombuffer(row["a_ids"], np.int64)
                 labels = np.frombuffer(row["a_labels"], np.int64)
                 tree = tree_of(row)
-                search = Search(tree, unpacked(row["a_kind"], row["a_rows"], row["dims"], len(ids)))
+                search = Search(tree, numbers(row["a_kind"], row["a_rows"], row["dims"], len(ids)))
                 out = []
                 for q, (own, label, windows) in enumerate(zip(ids, labels, row["windows"], strict=True)):
                     may = (tree.labels == label) == same_label
