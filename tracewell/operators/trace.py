@@ -56,7 +56,8 @@ def walk(pairs: DataFrame, start: DataFrame, up_depth: int, down_depth: int, max
     Up and down have frontiers of their own and share what was visited and a budget of max_nodes, the start
     included. A hop reads the pairs once, for both sides; a node that both meet is upstream. The nearest nodes come
     first, then the smaller urn: a hop that would pass the budget gives what fits, and the walk ends. So
-    it makes no more than max_nodes nodes, and reads nothing behind them. Cycles end, as seen nodes drop out."""
+    it makes no more than max_nodes nodes, and reads nothing behind them: a budget that is spent with hops left is
+    a reason even where nothing would have come. Cycles end, as seen nodes drop out."""
     began, reason, hop = time.monotonic(), None, 0
     seen = cut(start.select("urn", F.lit("start").alias("side"), F.lit(0).alias("depth")))
     front, total, met = seen.select("urn", F.array(*[F.lit(s) for s, d in (("upstream", up_depth), ("downstream", down_depth)) if d > 0]).cast("array<string>").alias("sides")), seen.count(), []
