@@ -1,3 +1,3 @@
 """The queries by name."""
 
-from tracewell.plans import administration, catalogue, governance, lineage, tracing  # noqa: F401  (each registers its queries)
+from tracewell.plans import administration, catalogue, feeds, governance, lineage, tracing  # noqa: F401  (each registers its queries)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracewell.streaming.state import claimed
+
 GAPS = "job_id long, sequence long, resync_from long"
 
 
@@ -87,20 +89,11 @@ def first_triggers(events: DataFrame, minutes: int) -> DataFrame:
     """job_id, type, event_id: events that trigger, which are those with no trigger of the same job and type
     within the minutes before them. An event that came too early doesn't count for the next one.
 
-    The state is one time for a job and type, so their events stream through in sorted order."""
-
-    def run(batches):
-        now, last = None, 0
-        for rows in batches:
-            fires = []
-            for key, s in zip(zip(rows.job_id, rows.type, strict=True), rows.s, strict=True):
-                fires.append(key != now or s - last > 60 * minutes)
-                if fires[-1]:
-                    now, last = key, s
-            yield rows.loc[fires, ["job_id", "type", "event_id"]]
-
-    dealt = events.select("job_id", "type", "event_id", "ts", F.unix_timestamp("ts").alias("s")).repartition("job_id", "type").sortWithinPartitions("job_id", "type", "ts", "event_id")
-    return dealt.mapInPandas(run, "job_id long, type string, event_id long")
+    Times count in whole seconds. See state.claimed for the plan."""
+    asked = events.select("job_id", "type", "event_id", F.unix_timestamp("ts").alias("s"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    # Whole seconds first, then the order of events within a second.
+    ranked = asked.withColumn("order", F.struct("us", "event_id"))
+    return claimed(ranked, ["job_id", "type"], "s", "order", 60 * minutes + 1).where("granted").select("job_id", "type", "event_id")
 
 
 def tumbling(events: DataFrame, width: str, late: str = "1 hour") -> DataFrame:
