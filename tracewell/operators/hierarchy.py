@@ -54,8 +54,10 @@ def chains(closure: DataFrame) -> DataFrame:
     return one.groupBy("urn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dist", "a"))), lambda x: x["a"]), ">").alias("chain"))
 
 
-def descendants(closure: DataFrame, urn: str, depth: int = 5) -> DataFrame:
-    return closure.where((F.col("ancestor_urn") == urn) & (F.col("dist") <= depth)).select("urn", "dist")
+def descendants(closure: DataFrame, urn: str, depth: int = 5, nodes: DataFrame | None = None, types: list[str] | None = None) -> DataFrame:
+    """urn, dist of what a node contains; with nodes and types only those of the types (others are passed through on the way)."""
+    out = closure.where((F.col("ancestor_urn") == urn) & (F.col("dist") <= depth)).select("urn", "dist")
+    return out if types is None else out.join(nodes.where(F.col("entity_type").isin(types)).select("urn"), "urn", "left_semi")
 
 
 def descendants_at_level(closure: DataFrame, nodes: DataFrame, urn: str, level: int) -> DataFrame:

@@ -89,6 +89,16 @@ def between(pairs: DataFrame, sources: list[str], targets: list[str] | None = No
     return out.where(F.col("target_urn").isin(targets)) if targets else out
 
 
+def listed_between(pairs: DataFrame, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """source_urn, target_urn, weight (1 where unknown), edge_types, total of the pairs between two tables of urns (or from the first to
+    any), the heaviest first; total is the weight of all of them."""
+    own = pairs.join(sources.select(F.col("urn").alias("source_urn")).distinct(), "source_urn", "left_semi")
+    own = own if targets is None else own.join(targets.select(F.col("urn").alias("target_urn")).distinct(), "target_urn", "left_semi")
+    own = cut(own.where("source_urn <> target_urn").select("source_urn", "target_urn", F.coalesce("weight", F.lit(1)).alias("weight"), "edge_types"))
+    total = own.agg(F.sum("weight")).first()[0] or 0
+    return own.select("*", F.lit(total).cast("long").alias("total")).orderBy(F.desc("weight"), "source_urn", "target_urn")
+
+
 def at_granularity(edges: DataFrame, closure: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
     """source_urn, target_urn, n, confidence: edges between the ancestors of their ends at the level."""
     anchor = anchors_at_granularity(closure, nodes, level)

@@ -15,12 +15,13 @@ def arcs(edges: DataFrame, direction: str) -> DataFrame:
     return down if direction == "downstream" else up
 
 
-def reach(edges: DataFrame, starts: DataFrame, direction: str, depth: int) -> DataFrame:
-    """urn, depth: nodes reached from the starts (column urn) in at most depth hops, by their shortest; starts excluded.
+def reach(edges: DataFrame, starts: DataFrame, direction: str, depth: int, types: list[str] | None = None) -> DataFrame:
+    """urn, depth: nodes reached from the starts (column urn) in at most depth hops, by their shortest; starts excluded. Only edges
+    of the types are taken, if any are given: stored edges of other types are not read.
 
     Each hop joins the new nodes alone, and nodes seen before drop out, so cycles end. While a counted frontier
     is small it is broadcast, so that the edges are read once a hop and not shuffled."""
-    step = arcs(edges, direction)
+    step = arcs(edges.where(F.col("edge_type").isin(types)) if types else edges, direction)
     front = seen = cut(starts.select("urn", F.lit(0).alias("depth")).distinct())
     n = total = front.count()
     for hop in range(1, max(1, min(depth, 20)) + 1):
@@ -135,7 +136,10 @@ def has_lineage_at_level(pairs: DataFrame, nodes: DataFrame, level: int) -> Data
 
 
 def incident_edges(edges: DataFrame, start: DataFrame, direction: str, depth: int) -> DataFrame:
-    """Edges that a transitive walk takes: those that leave the start or a reached node in the direction."""
+    """Edges that a transitive walk takes: those that leave the start or a reached node in the direction; `both`: those of
+    a walk down and of a walk up, each once."""
+    if direction == "both":
+        return incident_edges(edges, start, "downstream", depth).union(incident_edges(edges, start, "upstream", depth)).dropDuplicates(["id"])
     reached = reach(edges, start, direction, depth).select("urn").union(start.select("urn"))
     side = "target_urn" if direction == "upstream" else "source_urn"
     return edges.join(reached.select(F.col("urn").alias(side)).distinct(), side, "left_semi").select(edges.columns)

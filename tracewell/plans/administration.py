@@ -43,6 +43,48 @@ def views_filtered(t):
     return _full(t).where(views.needs_attention() & F.col("view_type").isin("en", "de") & views.any_contains(["created_by", "workspace_name", "source_name"], "E")).select("view_id")
 
 
+#: Whole views: dates, deletion, tags and visibility come from the documents' numbers.
+_WHOLE = (
+    f"{_FAVOURITES}, {_VIEWS}, wv AS (SELECT f.*, 'view ' || view_id AS name, CASE WHEN view_id % 5 = 0 THEN NULL ELSE 'about ' || view_type END AS description, CASE view_id % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'workspace' ELSE 'private' END AS visibility, "
+    "CASE WHEN view_id % 7 = 0 THEN DATE '2024-02-01' END AS deleted_at, DATE '2024-01-01' + CAST(view_id % 60 AS INTEGER) AS created_at, '[\"' || CASE view_id % 4 WHEN 0 THEN 'pii' WHEN 1 THEN 'Finance' ELSE 'pi' END || '\"]' AS tags, view_id % 9 AS context_model_id, COALESCE(view_id IN (SELECT view_id FROM fav WHERE user_id = 1), FALSE) AS is_favourited FROM full_v f)"
+)
+
+
+def _whole_views(t: Tables) -> DataFrame:
+    n = F.col("view_id")
+    mine = _favourites(t).where("user_id = 1").select("view_id", F.lit(True).alias("is_favourited")).distinct()
+    named = {
+        "name": F.concat(F.lit("view "), n.cast("string")), "description": F.when(n % 5 != 0, F.concat(F.lit("about "), "view_type")), "visibility": F.when(n % 3 == 0, "public").when(n % 3 == 1, "workspace").otherwise("private"), "deleted_at": F.when(n % 7 == 0, F.lit("2024-02-01").cast("date")),
+        "created_at": F.date_add(F.lit("2024-01-01").cast("date"), (n % 60).cast("int")), "tags": F.concat(F.lit('["'), F.when(n % 4 == 0, "pii").when(n % 4 == 1, "Finance").otherwise("pi"), F.lit('"]')), "context_model_id": n % 9, "is_favourited": F.coalesce("is_favourited", F.lit(False)),
+    }
+    return _full(t).join(mine, "view_id", "left").withColumns(named)
+
+
+#: Ways to ask for views, with the SQL condition of each.
+ASKED = {
+    "plain": ({}, "deleted_at IS NULL"),
+    "deleted": ({"deleted": "only", "view_type": "en"}, "deleted_at IS NOT NULL AND view_type = 'en'"),
+    "several": ({"deleted": "too", "view_types": ["de", "fr"], "view_type": "en", "visibility_in": ["public", "private"], "visibility": "workspace", "context_model_id": 4}, "view_type IN ('de', 'fr') AND visibility IN ('public', 'private') AND context_model_id = 4"),
+    "dated": ({"created_after": "2024-02-10", "workspace_ids": [1, 2, 3, 27], "data_source_id": 3}, "deleted_at IS NULL AND created_at >= DATE '2024-02-10' AND workspace_id IN (1, 2, 3, 27) AND data_source_id = 3"),
+    "tagged": ({"tags": ["PII", "finance"], "favourited_only": True}, "deleted_at IS NULL AND (tags ILIKE '%\"pii\"%' OR tags ILIKE '%\"finance\"%') AND is_favourited"),
+    "searched": ({"search": "An", "attention_only": True}, f"deleted_at IS NULL AND CONCAT_WS(CHR(10), LOWER(name), LOWER(description), LOWER(workspace_name), LOWER(source_name), LOWER(created_by), LOWER(tags)) LIKE '%an%' AND {_HEALTH} <> 'healthy'"),
+}
+
+
+@query(f"{_WHOLE} " + " UNION ALL ".join(f"SELECT '{k}' AS asked, view_id FROM wv WHERE {sql}" for k, (_, sql) in ASKED.items()))
+def view_filters(t):
+    """Every option of the filter, in six requests."""
+    every = _whole_views(t)
+    marks = F.array_compact(F.array(*[F.when(views.view_filter(**k), name) for name, (k, _) in ASKED.items()]))
+    return every.select(F.explode(marks).alias("asked"), "view_id")
+
+
+@query(f"{_WHOLE}, l AS (SELECT view_id, ROW_NUMBER() OVER (ORDER BY age_days, view_id) AS pos, COUNT(*) OVER () AS total FROM wv WHERE deleted_at IS NULL AND visibility = 'public') SELECT view_id, pos, total, total > 40 AS has_more, CASE WHEN total > 40 THEN 40 END AS next_offset FROM l WHERE pos > 20 AND pos <= 40")
+def views_listed(t):
+    """The second page of twenty public views, the latest first."""
+    return views.listed(_whole_views(t), views.view_filter(visibility="public"), ["age_days", "view_id"], 20, 20).select("view_id", "pos", "total", "has_more", "next_offset")
+
+
 @query(f"{_FAVOURITES}, {_VIEWS}, n AS (SELECT view_id, COUNT(*) AS n, BOOL_OR(user_id = 1) AS mine FROM fav GROUP BY 1) SELECT f.view_id, workspace_name, source_name, COALESCE(n, 0) AS favourite_count, COALESCE(mine, FALSE) AS is_favourited FROM full_v f LEFT JOIN n ON n.view_id = f.view_id")
 def views_enriched(t):
     return views.enriched(_full(t), _favourites(t), 1).select("view_id", "workspace_name", "source_name", "favourite_count", "is_favourited")

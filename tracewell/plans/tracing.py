@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators import columns, forest, hierarchy, ontology, scope, trace, upkeep
-from tracewell.plans.catalogue import ORDER, Tables, query
+from tracewell.operators import columns, forest, hierarchy, ontology, rollup, scope, trace, traversal, upkeep
+from tracewell.plans.catalogue import DOMAIN, ORDER, PART, Tables, _walk, query
 from tracewell.plans.sql import ANC, EDGES, NODES, PAIRS
 
 ITEMS_OF_1 = "urn LIKE 'urn:lg:tpch:column:1-%'"
@@ -289,3 +289,25 @@ def pattern_matches(t):
     own = t.read("customer").select(F.concat(F.lit("urn:lg:tpch:Container:c"), key.cast("string"), tail).alias("pattern"))
     more = t.spark.createDataFrame([("*:dataPlatform:*1",), ("*system:?",)], "pattern string")
     return scope.matched(t.nodes, own.union(more))
+
+
+@query("o AS (SELECT p.* FROM pairs p JOIN nodes a ON a.urn = p.source_urn AND a.level = 1 JOIN nodes b ON b.urn = p.target_urn AND b.level = 0) SELECT source_urn, target_urn, weight, edge_types, CAST((SELECT SUM(weight) FROM o) AS BIGINT) AS total FROM o", NODES, PAIRS)
+def pairs_listed(t):
+    """From systems and platforms to domains, the heaviest first, with the weight of all."""
+    at = lambda n: t.nodes.where(F.col("level") == n).select("urn")
+    return rollup.listed_between(t.pairs, at(1), at(0))
+
+
+@query(f"{_walk('downstream', PART, 4).replace('JOIN edges e', 'JOIN flows e')} SELECT urn, MIN(depth) AS depth FROM w GROUP BY 1 HAVING MIN(depth) > 0".replace("w AS (", "flows AS (SELECT * FROM edges WHERE edge_type IN ('FLOWS_TO')), w AS (", 1), EDGES)
+def downstream_of_type(t):
+    return traversal.reach(t.edges, t.urns(PART), "downstream", 4, ["FLOWS_TO"])
+
+
+@query("SELECT a.urn, a.dist FROM anc a JOIN nodes n ON n.urn = a.urn WHERE a.ancestor_urn = 'urn:lg:tpch:domain:1' AND a.dist <= 3 AND n.entity_type IN ('container', 'dataset')", NODES, ANC)
+def descendants_of_type(t):
+    return hierarchy.descendants(t.closure, DOMAIN, 3, t.nodes, ["container", "dataset"])
+
+
+@query(f"{_walk('downstream', ORDER, 2)}, {_walk('upstream', ORDER, 2).replace('w AS', 'w2 AS').replace('FROM w ', 'FROM w2 ').replace('w.', 'w2.')} SELECT id FROM edges WHERE source_urn IN (SELECT urn FROM w) OR target_urn IN (SELECT urn FROM w2)", EDGES)
+def transitive_edges_both(t):
+    return traversal.incident_edges(t.edges, t.urns(ORDER), "both", 2).select("id")
