@@ -4,6 +4,8 @@ import html as entities
 import os
 import re
 
+import random
+import time
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +153,49 @@ def test_null_repeated_clashing_and_no_rows(spark):
     out = html.extract(df)
     assert sorted((r["page_id"] or 0, r["text"], r["host"]) for r in out.collect()) == [(0, "a", 1), (1, "", 1), (1, "", 1), (2, "b", 1), (2, "b", 1)]
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_every_main_and_the_title_beside_an_article():
+    page = "<body><main><h2>One</h2><p>First main.</p></main><main><p>Second main.</p></main></body>"
+    assert html.main_text(page) == "One\nFirst main.\nSecond main."
+    page = "<body><div><h1>The title</h1><article><p>Body.</p></article><p>after</p><h1>not this</h1></div></body>"
+    assert html.main_text(page) == "The title\nBody."
+    page = "<main><main><p>Inner.</p></main><p>Outer.</p></main>"
+    assert html.main_text(page) == "Inner.\nOuter."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        lambda n: "<p><button>" + "<i>" * n + "<h1></h1>" * n,
+        lambda n: "<a " * n + '=">"',
+        lambda n: '<a ="' + "<b " * n + '" =">"',
+        lambda n: "<div>" * n + "</p>" * n,
+        lambda n: "<b>" * n + "</i>" * n,
+        lambda n: "<!" * n,
+        lambda n: "<a b='" * n,
+        lambda n: "<a " + '<b=" ' * n + '=">"',
+        lambda n: "<a<a" * n + ' =">"',
+    ],
+)
+def test_hostile_pages_take_linear_time(page):
+    """A megabyte of each takes seconds at most."""
+    began = time.process_time()
+    html.parse(page(1_000_000 // len(page(1))))
+    assert time.process_time() - began < 8
+
+
+def test_tags_that_nothing_closes_are_text():
+    """As the plain pattern has it, wherever the failing tag stands."""
+    r = random.Random(6)
+    for _ in range(3000):
+        page = "".join(r.choice(["<a ", "<b>", "=", '"', "'", ">", "x", " ", "</a", "<!--", "-->", '="', "='"]) for _ in range(r.randrange(1, 25)))
+        token, at, got, want = html.tokens(page), 0, [], []
+        while m := token(at):
+            got.append(m.span())
+            at = m.end()
+        at = 0
+        while m := html.TOKEN.search(page, at):
+            want.append(m.span())
+            at = m.end()
+        assert got == want, page

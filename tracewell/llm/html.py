@@ -14,16 +14,18 @@ of one page don't make that page a template.
 
 What is left after that is the text. As a last step, for hosts with too few pages to show a template,
 elements go by tag and by a class, id or role that names something other than prose, and where there is
-an article (or a main element) only that counts.
+an article only articles count, with a first-level heading that stands before one of them, and else all
+main elements.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -63,7 +65,9 @@ P_SCOPE = frozenset("article aside blockquote body button caption center dd deta
 SIDE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promoted|promotion|sidebar|side|aside|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|footer|header|masthead|cookie|cookies|consent|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|comment|comments|respond|replies|disqus|related|recommended|recommendations|widget|toolbar|pagination|pager|skip|complementary|contentinfo|search|tablist|dialog)(?:$|[\s_-])"
 )
-TOKEN = re.compile(r"""<!--(?P<comment>.*?)(?:--!?>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*+)>""", re.S)
+TOKEN = re.compile(r"""<!--(?P<comment>.*?)(?:--!?>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*+)>""", re.S)
+NAME = re.compile(r"</?[a-zA-Z][^\s/>]*")
+START, QUOTED = re.compile(r"<(?:[!?]|/?[a-zA-Z])"), re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
 DIGITS, LETTER = re.compile(r"[0-9]+"), re.compile(r"[^\W\d_]")
 ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 
@@ -87,11 +91,44 @@ def names_of(attrs: str) -> tuple[str, bool]:
     return " ".join(names), hidden
 
 
+def tokens(source: str):
+    """A function that gives the first token at or after a place, or None.
+
+    A tag that nothing closes is read to the end of the page once: a tag whose name ends behind it
+    where it read no quoted value isn't closed, either."""
+    failed: list[tuple[int, list[int], list[int]]] = []  # ends of names, and the quoted values behind them
+    named = [0]
+
+    def known(end: int) -> bool:
+        for first, starts, ends in reversed(failed):
+            k = bisect.bisect_left(starts, end) - 1
+            if end >= first and (k < 0 or end >= ends[k]):
+                return True
+        return False
+
+    def token(at: int) -> re.Match | None:
+        while s := START.search(source, at):
+            i = s.start()
+            if source[i + 1] in "!?":
+                return TOKEN.match(source, i)
+            if i + 1 >= named[0]:  # else it is in the name of one that failed
+                named[0] = NAME.match(source, i).end()
+                if not known(named[0]):
+                    if m := TOKEN.match(source, i):
+                        return m
+                    spans = [q.span() for q in QUOTED.finditer(source, named[0])]
+                    failed.append((named[0], [x for x, _ in spans], [y for _, y in spans]))
+            at = i + 1
+        return None
+
+    return token
+
+
 def parse(source: str) -> Element:
     """The tree of a page, as far as text needs it. Broken markup is closed where a browser would."""
     root = Element("", False, 0)
-    stack, at, n, last = [root], 0, len(source), source.rfind(">")
-    open_now: Counter = Counter()
+    stack, at, n, token = [root], 0, len(source), tokens(source)
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack elements of a tag are
 
     def text(piece: str) -> None:
         if piece:
@@ -99,18 +136,13 @@ def parse(source: str) -> Element:
 
     def close(names: frozenset | set, until: frozenset) -> None:
         """Ends the nearest open element of names, unless one of until is nearer."""
-        if not any(open_now[x] for x in names):
-            return
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                open_now.subtract([e.tag for e in stack[i:]])
-                del stack[i:]
-                return
-            if stack[i].tag in until:
-                return
+        nearest = max((places[x][-1] for x in names if places.get(x)), default=0)
+        if nearest and nearest >= max((places[x][-1] for x in until if places.get(x)), default=0):
+            while len(stack) > nearest:
+                places[stack.pop().tag].pop()
 
     while at < n:
-        m = TOKEN.search(source, at) if at <= last or source.find("<!", at) >= 0 else None
+        m = token(at)
         if not m:
             text(source[at:])
             break
@@ -141,8 +173,8 @@ def parse(source: str) -> Element:
             element.parts.append(entities.unescape(inside) if tag in ("textarea", "title") else inside)
             at = end.end() if end else n
         elif tag not in VOID:
+            places[tag].append(len(stack))
             stack.append(element)
-            open_now[tag] += 1
     return root
 
 
@@ -274,18 +306,23 @@ def main_text(source: str, template: Template = Template(), rules: bool = True)
         return "\n".join(blocks_of([root], rules))
     tops: list[Element] = []
     mains: list[Element] = []
-    todo = [root]
-    while todo:  # the outermost articles that are no side matter
-        e = todo.pop()
+    todo = [(root, False, False)]
+    while todo:  # the outermost articles that are no side matter, with a title that stands before one of them
+        e, beside, within = todo.pop()
         if e.side or e.cut:
             continue
         if e.tag == "article":
             tops.append(e)
             continue
-        if e.tag == "main":
+        if e.tag == "h1" and beside:
+            tops.append(e)
+            continue
+        if e.tag == "main" and not within:
             mains.append(e)
-        todo += [x for x in reversed(e.parts) if x.__class__ is Element]
-    return "\n".join(blocks_of(tops or mains[:1] or [root], rules))
+        children = [x for x in e.parts if x.__class__ is Element]
+        first = next((i for i, x in enumerate(children) if x.tag == "article" and not x.side and not x.cut), 0)
+        todo += [(x, i < first, within or e.tag == "main") for i, x in reversed([*enumerate(children)])]
+    return "\n".join(blocks_of(tops or mains or [root], rules))
 
 
 def host_of(url: Column) -> Column:

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import fresh, quoted
+
 OPEN, CLOSE, OTHER = "\x01", "\x02", "\x03"
 #: Matches whose places are summed up at once.
 GROUP = 256
@@ -104,16 +106,18 @@ def scan(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
 
     By kind in the order of KINDS, then start; places in code points, end exclusive. The first four
     kinds score enough without context; the others need a valid check number or a context word. Null
-    and empty texts have none. Repeated rows get equal spans; a column of df named like out is
-    replaced. No rows: no rows."""
-    body, work = F.coalesce(F.col(text), F.lit("")), df
-    names = [f"__pii_{k.name}" for k in KINDS]
+    and empty texts have none; of a text of any length every match counts. Repeated rows get equal spans; a
+    column of df named like out gives way to the last one. Others may have any names. No rows: no rows."""
+    body, work, names = F.coalesce(quoted(text), F.lit("")), df, []
+    for k in KINDS:
+        names.append(fresh(df, f"pii_{k.name}"))
     for k, name in zip(KINDS, names, strict=True):
         parts = pieces(body, k.pattern)
         work = work.withColumn(name, F.when(F.contains(body, F.lit(k.needs)), parts).otherwise(F.array(F.lit(""))) if k.needs else parts)
     for k, name in zip(KINDS, names, strict=True):
         work = work.withColumn(name, F.when(F.size(name) > 1, places(F.col(name))))
-    return work.withColumn(out, F.concat(*[confirmed(k, F.col(name)) for k, name in zip(KINDS, names, strict=True)])).drop(*names)
+    found = F.concat(*[confirmed(k, F.col(name)) for k, name in zip(KINDS, names, strict=True)]).alias(out)
+    return work.select(*[quoted(c) for c in df.columns if c != out], found)
 
 
 def confirmed(kind: Kind, proposed: Column) -> Column:
