@@ -89,6 +89,20 @@ def anchors_at_granularity(closure: DataFrame, nodes: DataFrame, level: int) ->
     return nodes.select("urn").join(found, "urn", "left").select("urn", F.coalesce("anchor", "urn").alias("anchor"))
 
 
+def ancestry(closure: DataFrame, nodes: DataFrame, levels: int) -> DataFrame:
+    """urn, at0 .. at<levels - 1>: the nearest of each node and its ancestors at each level (null: none), to be stored
+    once; a question about anchors then reads the columns it needs and joins nothing else."""
+    at = nodes.select(F.col("urn").alias("ancestor_urn"), F.col("level").alias("own"))
+    up = with_self(closure, nodes).join(at, "ancestor_urn")
+    nearest = [F.min_by(F.when(F.col("own") == n, F.col("ancestor_urn")), F.when(F.col("own") == n, F.struct("dist", "ancestor_urn"))).alias(f"at{n}") for n in range(levels)]
+    return up.groupBy("urn").agg(*nearest)
+
+
+def anchors_by(ancestry: DataFrame, level: int) -> DataFrame:
+    """urn, anchor, as anchors_at_granularity has it where levels rise on the way down."""
+    return ancestry.select("urn", F.coalesce(*[F.col(f"at{n}") for n in range(level, -1, -1)], "urn").alias("anchor"))
+
+
 def closing_moves(closure: DataFrame, moves: DataFrame) -> DataFrame:
     """moves (child_urn, new_parent_urn) with closes_cycle: whether the new parent is in the child, or is it."""
     inside = closure.select(F.col("urn").alias("new_parent_urn"), F.col("ancestor_urn").alias("child_urn"), F.lit(True).alias("inside"))

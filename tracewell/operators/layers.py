@@ -32,7 +32,8 @@ def assign(nodes: DataFrame, closure: DataFrame, rules: list[dict], instances: D
     else the rule of the root, else the first layer with confidence 0.5. So all but roots inherit."""
     given = instances.select(F.col("urn").alias("ancestor_urn"), F.col("layer").alias("given"))
     own = with_self(closure, nodes).join(given, "ancestor_urn").groupBy("urn").agg(F.min_by("given", F.struct("dist", "ancestor_urn")).alias("given"), F.min("dist").alias("dist"))
-    by_root = root_of(closure, nodes).join(best_rules(nodes, rules).select(F.col("urn").alias("root"), F.col("layer").alias("rule")), "root")
+    tops = nodes.join(closure.select("urn").distinct(), "urn", "left_anti")  # rules matter for roots alone
+    by_root = root_of(closure, nodes).join(best_rules(tops, rules).select(F.col("urn").alias("root"), F.col("layer").alias("rule")), "root")
     return by_root.join(own, "urn", "left").select("urn", F.coalesce("given", "rule", F.lit(first_layer)).alias("layer"), F.when(F.col("given").isNotNull() | F.col("rule").isNotNull(), 1.0).otherwise(0.5).alias("confidence"), F.when(F.col("given").isNotNull(), F.col("dist") > 0).otherwise(F.col("urn") != F.col("root")).alias("inherited"))
 
 

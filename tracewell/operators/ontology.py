@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.functions.scalar import common_prefix
-
 ENTITY = "type_id string, level int, can_contain array<string>"
 RELATION = "type_id string, is_containment boolean, is_lineage boolean, source_types array<string>, target_types array<string>"
 ENTITY_TYPES = [("domain", 0, ["system"]), ("system", 1, ["container"]), ("dataPlatform", 1, ["dataset"]), ("container", 2, ["dataset"]), ("dataset", 3, ["column"]), ("column", 4, [])]
@@ -39,11 +37,17 @@ def coverage(found: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def drift(external: DataFrame, known: DataFrame) -> DataFrame:
-    """type_id, suggestion: external types that are not known (case ignored), and the known type that starts most alike."""
+    """type_id, suggestion: external types that are not known (case ignored), and the known type that starts most alike (case,
+    `_` and `-` ignored; of several the last by name), if the first character is the same.
+
+    Each known type goes with all its beginnings, so an external one meets those that share a beginning, and no others."""
     new = external.select("type_id").distinct().join(known.select(F.upper("type_id").alias("u")), F.upper("type_id") == F.col("u"), "left_anti")
-    scored = new.join(F.broadcast(known.select(F.col("type_id").alias("known_id"))), F.lit(True)).withColumn("n", common_prefix(F.col("type_id"), F.col("known_id")))
-    best = scored.groupBy("type_id").agg(F.max_by("known_id", F.struct("n", "known_id")).alias("s"), F.max("n").alias("n"))
-    return best.select("type_id", F.when(F.col("n") > 0, F.col("s")).alias("suggestion"))
+    plain = F.lower(F.regexp_replace("type_id", "[_-]", ""))
+    head = F.explode(F.transform(F.sequence(F.lit(0), F.length(plain)), lambda n: F.substr(plain, F.lit(1), n))).alias("head")
+    longest = known.select(F.col("type_id").alias("known_id"), head).where("head <> ''").groupBy("head").agg(F.max("known_id").alias("known_id"))
+    asked = new.select("type_id", head).where("head <> ''")
+    best = asked.join(longest, "head").groupBy("type_id").agg(F.max_by("known_id", F.length("head")).alias("suggestion"))
+    return new.join(best, "type_id", "left").select("type_id", "suggestion")
 
 
 def impact(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -77,9 +81,10 @@ def type_hierarchy(nodes: DataFrame, containment: DataFrame) -> DataFrame:
 
 def allowed_children(types: DataFrame, parent: str) -> DataFrame:
     """Every type with whether the parent may contain it; allowed ones first."""
-    rule = types.where(F.col("type_id") == parent).select("can_contain").first()
-    allowed = F.lit(True) if rule and not rule[0] else F.col("type_id").isin(rule[0] if rule else [])
-    return types.select("type_id", allowed.alias("allowed")).orderBy(F.desc("allowed"), "type_id")
+    rule = types.where(F.col("type_id") == parent).agg(F.first("can_contain").alias("rule"))  # one row
+    none = F.array().cast("array<string>")
+    allowed = F.when(F.size("rule") == 0, True).otherwise(F.array_contains(F.coalesce("rule", none), F.col("type_id")))
+    return types.select("type_id").join(F.broadcast(rule)).select("type_id", allowed.alias("allowed")).orderBy(F.desc("allowed"), "type_id")
 
 
 def derived_types(nodes: DataFrame, containment: DataFrame) -> DataFrame:
@@ -110,6 +115,6 @@ def check_edges(edges: DataFrame, nodes: DataFrame, relations: DataFrame) -> Dat
     """id, error (null where the edge is valid): unknown type, or an end of a type that is not allowed."""
     t = nodes.select("urn", "entity_type")
     e = edges.join(t.select(F.col("urn").alias("source_urn"), F.col("entity_type").alias("st")), "source_urn", "left").join(t.select(F.col("urn").alias("target_urn"), F.col("entity_type").alias("tt")), "target_urn", "left")
-    r = F.broadcast(relations.select(F.upper("type_id").alias("rt"), "source_types", "target_types"))
+    r = relations.select(F.upper("type_id").alias("rt"), "source_types", "target_types")
     bad = lambda types, x: (F.size(types) > 0) & ~F.coalesce(F.array_contains(types, F.col(x)), F.lit(False))
     return e.join(r, F.upper("edge_type") == F.col("rt"), "left").select("id", "edge_type", F.when(F.col("rt").isNull(), "unknown type").when(bad("source_types", "st"), "source not allowed").when(bad("target_types", "tt"), "target not allowed").alias("error"))

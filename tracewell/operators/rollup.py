@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.hierarchy import anchors_at_granularity
 from tracewell.sources.shared import cut, small
 
 
@@ -99,19 +98,27 @@ def listed_between(pairs: DataFrame, sources: DataFrame, targets: DataFrame | No
     return own.select("*", F.lit(total).cast("long").alias("total")).orderBy(F.desc("weight"), "source_urn", "target_urn")
 
 
-def at_granularity(edges: DataFrame, closure: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
-    """source_urn, target_urn, n, confidence: edges between the ancestors of their ends at the level."""
-    anchor = anchors_at_granularity(closure, nodes, level)
+def anchored(edges: DataFrame, anchor: DataFrame, *by: str) -> DataFrame:
+    """source_urn, target_urn, by..., n, confidence: edges counted between the anchors (urn, anchor) of their ends, with their highest
+    confidence (null is 1); edges with a common anchor are left out.
+
+    Edges are summed when their source has its anchor, so that far fewer rows meet the anchors of targets."""
+    one = F.max(F.coalesce("confidence", F.lit(1.0))).alias("confidence")
     s = edges.join(anchor.select(F.col("urn").alias("source_urn"), F.col("anchor").alias("s")), "source_urn")
-    both = s.join(anchor.select(F.col("urn").alias("target_urn"), F.col("anchor").alias("t")), "target_urn").where("s <> t")
-    return both.groupBy(F.col("s").alias("source_urn"), F.col("t").alias("target_urn")).agg(F.count("*").alias("n")).withColumn("confidence", F.least(F.lit(1.0), F.col("n") / 5.0))
+    half = s.groupBy("s", "target_urn", *by).agg(F.count("*").alias("n"), one)
+    both = half.join(anchor.select(F.col("urn").alias("target_urn"), F.col("anchor").alias("t")), "target_urn").where("s <> t")
+    return both.groupBy(F.col("s").alias("source_urn"), F.col("t").alias("target_urn"), *by).agg(F.sum("n").alias("n"), F.max("confidence").alias("confidence"))
+
+
+def at_granularity(edges: DataFrame, anchor: DataFrame) -> DataFrame:
+    """source_urn, target_urn, n, confidence: edges between the anchors of their ends; five edges are sure."""
+    return anchored(edges, anchor).withColumn("confidence", F.least(F.lit(1.0), F.col("n") / 5.0))
 
 
 def bundles(edges: DataFrame, anchor: DataFrame) -> DataFrame:
     """Edges projected on visible anchors (urn, anchor): count, types, highest confidence (null is 1)."""
-    s = edges.join(anchor.select(F.col("urn").alias("source_urn"), F.col("anchor").alias("s")), "source_urn")
-    both = s.join(anchor.select(F.col("urn").alias("target_urn"), F.col("anchor").alias("t")), "target_urn").where("s <> t")
-    return both.groupBy(F.col("s").alias("source_urn"), F.col("t").alias("target_urn")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("edge_type")), ",").alias("edge_types"), F.max(F.coalesce("confidence", F.lit(1.0))).alias("confidence"), (F.count("*") > 1).alias("bundled"))
+    each = anchored(edges, anchor, "edge_type")
+    return each.groupBy("source_urn", "target_urn").agg(F.sum("n").alias("n"), F.array_join(F.sort_array(F.collect_set("edge_type")), ",").alias("edge_types"), F.max("confidence").alias("confidence"), (F.sum("n") > 1).alias("bundled"))
 
 
 def visible_anchors(closure: DataFrame, nodes: DataFrame, expanded: DataFrame) -> DataFrame:

@@ -53,6 +53,10 @@ class Tables:
     def closure(self) -> DataFrame:
         return self._stored("closure", lambda: hierarchy.closure(self.containment))
 
+    @property
+    def ancestry(self) -> DataFrame:
+        return self._stored("ancestry", lambda: hierarchy.ancestry(self.closure, self.nodes, 5))
+
     @property
     def typed_pairs(self) -> DataFrame:
         return self._stored("typed_pairs", lambda: rollup.typed(self.edges, self.closure))
@@ -350,7 +354,7 @@ def rollup_add_delta(t):
 
 @query("g AS (SELECT n.urn, COALESCE(a.ancestor_urn, n.urn) AS anchor FROM nodes n LEFT JOIN (SELECT a.* FROM anc a JOIN nodes m ON m.urn = a.ancestor_urn AND m.level = 1) a ON a.urn = n.urn AND n.level > 1) SELECT s.anchor AS source_urn, x.anchor AS target_urn, COUNT(*) AS n, LEAST(1.0, COUNT(*) / 5.0)::DOUBLE AS confidence FROM edges e JOIN g s ON s.urn = e.source_urn JOIN g x ON x.urn = e.target_urn WHERE s.anchor <> x.anchor GROUP BY 1, 2", NODES, EDGES, ANC)
 def project_granularity(t):
-    return rollup.at_granularity(t.edges, t.closure, t.nodes, 1)
+    return rollup.at_granularity(t.edges, hierarchy.anchors_by(t.ancestry, 1))
 
 
 @query("v AS (SELECT n.urn, COALESCE((SELECT ARG_MAX(a.ancestor_urn, a.dist) FROM anc a WHERE a.urn = n.urn AND a.ancestor_urn NOT LIKE 'urn:lg:tpch:domain:%'), n.urn) AS anchor FROM nodes n) SELECT s.anchor AS source_urn, x.anchor AS target_urn, COUNT(*) AS n, STRING_AGG(DISTINCT edge_type, ',' ORDER BY edge_type) AS edge_types, MAX(COALESCE(confidence, 1.0))::DOUBLE AS confidence, COUNT(*) > 1 AS bundled FROM edges e JOIN v s ON s.urn = e.source_urn JOIN v x ON x.urn = e.target_urn WHERE s.anchor <> x.anchor GROUP BY 1, 2", NODES, EDGES, ANC)
@@ -385,21 +389,31 @@ def ontology_coverage(t):
     return ontology.coverage(t.read("events").select(F.col("event_type").alias("type_id")), known)
 
 
-@query("SELECT * FROM (VALUES ('column', 'added'), ('domain', 'removed'), ('report', 'removed')) v(type_id, change)")
+@query("o AS (SELECT DISTINCT p_brand || ' ' || p_type AS type_id FROM part WHERE p_size < 30), n AS (SELECT DISTINCT p_brand || ' ' || p_type AS type_id FROM part WHERE p_size > 20) SELECT COALESCE(o.type_id, n.type_id) AS type_id, CASE WHEN o.type_id IS NULL THEN 'added' ELSE 'removed' END AS change FROM o FULL JOIN n ON n.type_id = o.type_id WHERE o.type_id IS NULL OR n.type_id IS NULL")
 def ontology_impact(t):
-    old = t.spark.createDataFrame([("domain",), ("report",), ("dataset",)], "type_id string")
-    new = t.spark.createDataFrame([("dataset",), ("column",)], "type_id string")
-    return ontology.impact(old, new)
+    """Kinds of small parts as the old types, of large ones as the new."""
+    kinds = t.read("part").select(F.concat_ws(" ", "p_brand", "p_type").alias("type_id"), "p_size")
+    return ontology.impact(kinds.where("p_size < 30").select("type_id").distinct(), kinds.where("p_size > 20").select("type_id").distinct())
 
 
-@query("SELECT * FROM (VALUES ('DATASET_VIEW', 'dataset'), ('xyz', NULL)) v(type_id, suggestion)")
+@query(
+    "e AS (SELECT DISTINCT p_name AS type_id FROM part), k AS (SELECT DISTINCT UPPER(SUBSTR(p_name, 1, 1 + p_partkey % 6)) || '_' || SUBSTR(p_type, 1, 2) AS type_id FROM part WHERE p_partkey % 3 = 0 UNION SELECT p_name FROM part WHERE p_partkey % 50 = 7), "
+    "n AS (SELECT type_id FROM e WHERE UPPER(type_id) NOT IN (SELECT UPPER(type_id) FROM k)), x AS (SELECT n.type_id, k.type_id AS known, LOWER(REGEXP_REPLACE(n.type_id, '[_-]', '', 'g')) AS a, LOWER(REGEXP_REPLACE(k.type_id, '[_-]', '', 'g')) AS b FROM n, k), "
+    "y AS (SELECT type_id, known, COALESCE(LIST_MAX(LIST_FILTER(RANGE(1, CAST(LEAST(LENGTH(a), LENGTH(b)) AS BIGINT) + 1), lambda i: SUBSTR(a, 1, i) = SUBSTR(b, 1, i))), 0) AS l FROM x) SELECT n.type_id, ARG_MAX(known, (l, known)) FILTER (l > 0) AS suggestion FROM n LEFT JOIN y ON y.type_id = n.type_id GROUP BY 1"
+)
 def ontology_drift(t):
-    return ontology.drift(t.spark.createDataFrame([("DATASET_VIEW",), ("xyz",), ("Column",)], "type_id string"), ontology.tables(t.spark)[0])
+    """Names of parts as external types; beginnings of some of them, with a part of another type, as the known ones."""
+    p = t.read("part")
+    known = p.where("p_partkey % 3 = 0").select(F.concat(F.upper(F.substr("p_name", F.lit(1), (1 + F.col("p_partkey") % 6).cast("int"))), F.lit("_"), F.substring("p_type", 1, 2)).alias("type_id"))
+    known = known.union(p.where("p_partkey % 50 = 7").select("p_name")).distinct()
+    return ontology.drift(p.select(F.col("p_name").alias("type_id")), known)
 
 
-@query("SELECT type_id, inner_id, dist FROM (WITH RECURSIVE s(a, b) AS (VALUES ('domain', 'system'), ('system', 'container'), ('dataPlatform', 'dataset'), ('container', 'dataset'), ('dataset', 'column')), c AS (SELECT a AS type_id, b AS inner_id, 1 AS dist FROM s UNION ALL SELECT c.type_id, s.b, c.dist + 1 FROM c JOIN s ON s.a = c.inner_id) SELECT * FROM c)")
+@query("s AS (SELECT DISTINCT a.entity_type AS a, b.entity_type AS b FROM containment x JOIN nodes a ON a.urn = x.parent_urn JOIN nodes b ON b.urn = x.child_urn), c AS (SELECT a AS type_id, b AS inner_id, 1 AS dist FROM s UNION ALL SELECT c.type_id, s.b, c.dist + 1 FROM c JOIN s ON s.a = c.inner_id WHERE c.dist < 10) SELECT type_id, inner_id, MIN(dist) AS dist FROM c GROUP BY 1, 2", NODES, ANC)
 def type_closure(t):
-    return ontology.type_closure(ontology.tables(t.spark)[0])
+    """What the graph's types hold, as its containment has them."""
+    seen = ontology.type_hierarchy(t.nodes, t.containment)
+    return ontology.type_closure(seen.groupBy(F.col("parent_type").alias("type_id")).agg(F.collect_set("child_type").alias("can_contain")))
 
 
 @query("SELECT edge_type, error, COUNT(*) AS n FROM (SELECT edge_type, CASE WHEN edge_type = 'DERIVED_FROM' THEN 'source not allowed' END AS error FROM edges) GROUP BY 1, 2", EDGES)
