@@ -8,7 +8,7 @@ import tiktoken
 from test_neardup import components
 
 import corpus_pipeline
-from tracewell.llm import bpe
+from tracewell.llm import bpe, stages
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 FOOTER = "All rights in this text belong to Nobody in particular"
@@ -68,3 +68,14 @@ def test_run_over_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_keep_columns_of_any_names(spark, sf_dir):
+    """Also those that are named like what a stage works with."""
+    extra = "language_id_score double, language_id_lang_pred string, decontam_items string, decontam_n_words int"
+    rows = [(1, "the cat sat on the mat and the dog ran", "en", "s", 38, 0.5, "x", "y", 7), (2, None, None, "s", None, 1.5, None, "z", 8)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    kept = stages.language_id(spark, docs, sf_dir)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == rows[:1]
+    clean = stages.decontaminate(spark, docs, sf_dir)
+    assert clean.columns == docs.columns and sorted(tuple(r)[5:] for r in clean.collect()) == [r[5:] for r in rows]

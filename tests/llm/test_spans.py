@@ -1,5 +1,6 @@
 """Secrets and personal data against plain readings of their patterns."""
 
+from collections import Counter
 import hashlib
 import re
 
@@ -131,3 +132,23 @@ def test_context_of_very_many_matches(spark):
             assert round(s["score"], 6) == round(k.base + (pii.BONUS if near else 0), 6), (r["doc_id"], s)
             seen += bool(near)
     assert seen > 500 and len(rows[3]["spans"]) == 2 * pii.GROUP + 1
+
+
+def test_pii_takes_any_column_names(spark):
+    df = spark.createDataFrame([("mail a@b.example now", "own", 1)], "`a.text` string, pii_email string, `x y` int")
+    row = pii.scan(df, "a.text").first()
+    assert row.__fields__ == ["a.text", "pii_email", "x y", "spans"] and (row["pii_email"], row["x y"]) == ("own", 1)
+    assert [(s.kind, s.start, s.end) for s in row["spans"]] == [("email", 5, 16)]
+    assert pii.scan(df, "a.text", "a.text").first().__fields__ == ["pii_email", "x y", "a.text"]
+
+
+def test_pair_counts_of_strings_on_their_own():
+    """Pairs within each string, which begins with code 0; none across two."""
+    words = ["ab", "", "ba~\u20ac", "a"]
+    want = Counter()
+    for w in words:
+        c = [0, *(int(x) for x in secrets.codes(w)[1:])]
+        want.update(zip(c[:-1], c[1:], strict=True))
+    got = secrets.pair_counts(words)
+    assert {(i // 97, i % 97): int(n) for i, n in enumerate(got) if n} == dict(want)
+    assert secrets.pair_counts([]).sum() == 0
