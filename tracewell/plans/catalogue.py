@@ -389,10 +389,10 @@ def ontology_coverage(t):
     return ontology.coverage(t.read("events").select(F.col("event_type").alias("type_id")), known)
 
 
-@query("o AS (SELECT DISTINCT p_brand || ' ' || p_type AS type_id FROM part WHERE p_size < 30), n AS (SELECT DISTINCT p_brand || ' ' || p_type AS type_id FROM part WHERE p_size > 20) SELECT COALESCE(o.type_id, n.type_id) AS type_id, CASE WHEN o.type_id IS NULL THEN 'added' ELSE 'removed' END AS change FROM o FULL JOIN n ON n.type_id = o.type_id WHERE o.type_id IS NULL OR n.type_id IS NULL")
+@query("o AS (SELECT DISTINCT p_brand || ' ' || p_size AS type_id FROM part WHERE p_size < 30), n AS (SELECT DISTINCT p_brand || ' ' || p_size AS type_id FROM part WHERE p_size > 20) SELECT COALESCE(o.type_id, n.type_id) AS type_id, CASE WHEN o.type_id IS NULL THEN 'added' ELSE 'removed' END AS change FROM o FULL JOIN n ON n.type_id = o.type_id WHERE o.type_id IS NULL OR n.type_id IS NULL")
 def ontology_impact(t):
-    """Kinds of small parts as the old types, of large ones as the new."""
-    kinds = t.read("part").select(F.concat_ws(" ", "p_brand", "p_type").alias("type_id"), "p_size")
+    """Brands and sizes of small parts as the old types, of large ones as the new."""
+    kinds = t.read("part").select(F.concat_ws(" ", "p_brand", F.col("p_size").cast("string")).alias("type_id"), "p_size")
     return ontology.impact(kinds.where("p_size < 30").select("type_id").distinct(), kinds.where("p_size > 20").select("type_id").distinct())
 
 

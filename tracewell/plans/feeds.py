@@ -15,8 +15,7 @@ _CLAIMS = "rq AS (SELECT event_type AS scope, event_id AS request_id, CAST(FLOOR
 
 
 @query(
-    f"{_CLAIMS}, nx AS (SELECT a.scope, a.r, MIN(b.r) AS nr FROM rq a ASOF JOIN rq b ON b.scope = a.scope AND b.s >= a.s + 7200 GROUP BY 1, 2), "
-    "nm AS (SELECT nx.scope, nx.r, (SELECT MIN(q.r) FROM rq q WHERE q.scope = nx.scope AND q.s = (SELECT s FROM rq x WHERE x.scope = nx.scope AND x.r = nx.nr)) AS nr FROM nx), "
+    f"{_CLAIMS}, nm AS (SELECT scope, r, 1 + COUNT(*) OVER (PARTITION BY scope ORDER BY s RANGE BETWEEN UNBOUNDED PRECEDING AND 7199 FOLLOWING) AS nr FROM rq), "
     "gr AS (SELECT scope, CAST(1 AS BIGINT) AS r FROM rq WHERE r = 1 UNION ALL SELECT nm.scope, nm.nr FROM gr JOIN nm ON nm.scope = gr.scope AND nm.r = gr.r) "
     "SELECT rq.scope, request_id, gr.r IS NOT NULL AS granted FROM rq LEFT JOIN gr ON gr.scope = rq.scope AND gr.r = rq.r"
 )
