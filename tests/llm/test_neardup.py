@@ -3,8 +3,9 @@
 import random
 
 import pytest
+import xxhash
 
-from tracewell.llm import neardup, stages
+from tracewell.llm import neardup, simhash, stages
 
 DOCS = "doc_id long, text string, url string"
 
@@ -101,3 +102,45 @@ def test_stage_rows_without_or_with_repeated_ids(spark):
     assert sorted(r.url for r in out if r.doc_id is None) == ["a", "e"]
     assert sorted(r.doc_id for r in out if r.doc_id is not None) == [1, 2]
     assert stages.near_dedup(spark, spark.createDataFrame([], DOCS), "").collect() == []
+
+
+def simhash_of(text):
+    """The fingerprint of a text's set of shingles, bit by bit."""
+    h = [xxhash.xxh64_intdigest(" ".join(s), 42) for s in sets(text)]
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def test_fingerprints_and_pivot_table_propose_first(spark, monkeypatch):
+    """The stage gets links from SimHash fingerprints that pass the pivot table; prefixes are not asked for those again."""
+    rows = corpus()
+    r = random.Random(3)
+    long = [f"v{r.randrange(9000)}" for _ in range(900)]
+    rows += [(len(rows) + i, " ".join([*long[:-i], *(f"z{i}" for _ in range(i))] if i else long), "") for i in range(4)]
+    sims = {simhash_of(t) for _, t, _ in rows}
+    want = {frozenset((a, b)) for a in sims for b in sims if a < b and (a ^ b).bit_count() <= neardup.BITS}
+    tables, made, left = [], [], []
+    table, hashed, apart = simhash.pivot_table, simhash.links, neardup.apart
+
+    def seen_table(fps):
+        tables.append({x.fp & (1 << 64) - 1 for x in fps.collect()})
+        return table(fps)
+
+    def seen_links(*a):
+        out = hashed(*a)
+        made.append({frozenset((x.u & (1 << 64) - 1, x.v & (1 << 64) - 1)) for x in out.collect()})
+        return out
+
+    def seen_apart(pairs, root):
+        roots = {x.fp: x.root for x in root.collect()}
+        out = apart(pairs, root)
+        left.extend((roots.get(x.u, x.u), roots.get(x.v, x.v)) for x in out.collect())
+        assert roots
+        return out
+
+    monkeypatch.setattr(simhash, "pivot_table", seen_table)
+    monkeypatch.setattr(simhash, "links", seen_links)
+    monkeypatch.setattr(neardup, "apart", seen_apart)
+    kept = stages.near_dedup(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted(x.doc_id for x in kept) == sorted(set(components(rows).values()))
+    assert tables == [sims] and want and made == [want]
+    assert left and all(u != v for u, v in left)

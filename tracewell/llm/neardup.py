@@ -1,11 +1,16 @@
 """Near-duplicates by similarity of word shingles: every pair of texts whose sets of five-word shingles
 have a Jaccard similarity of 0.8 or more is linked.
 
-At that similarity the fingerprints of op2 are some ten of 64 bits apart, too many for buckets of equal
-blocks. Pairs come from prefixes instead: with the shingles of each set in one order for all texts, two
+SimHash fingerprints of the sets come first, with the pivot distance table of op2 to discard pairs: sets
+at BITS or fewer are compared as whole sets, those of one fingerprint with one of them. That links copies
+with few changes.
+
+At a similarity of 0.8 fingerprints are some ten of 64 bits apart, too many for buckets of equal blocks,
+and no limit of bits is sure to hold all similar pairs. So the links that fingerprints can't propose come
+from prefixes: with the shingles of each set in one order for all texts, two
 sets that similar share one of the first n - ceil(0.8 n) + 1 of their n. Any order is right. This one puts
 shingles last that are common in a sample, so that a passage in many texts proposes few pairs. What a
-prefix proposes goes by size, position and shared prefix and is then confirmed on the whole sets.
+prefix proposes goes by the links of fingerprints, size, position and shared prefix and is then confirmed on the whole sets.
 
 Groups of copies share whole prefixes, so all pairs are out of the question. First each text is compared
 with a leader of its buckets, the text with the largest share of common shingles, which is the least
@@ -33,6 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 
+from tracewell.llm import simhash
 from tracewell.llm.common import append_arrow, broadcast_below, discard, materialise, quoted, texts
 from tracewell.llm.components import stars
 from tracewell.llm.simhash import components, keep_lowest, signed
@@ -40,6 +46,8 @@ from tracewell.llm.simhash import components, keep_lowest, signed
 SHINGLE = 5
 #: Least similarity, as a fraction.
 LEAST = 4, 5
+#: Bits up to which fingerprints propose pairs. More make keys of two equal blocks too short to select.
+BITS = 3
 #: Texts that the order is learned from, in how many of them a shingle is common, and most common ones.
 SAMPLE, SEEN, COMMON = 5_000, 5, 100_000
 #: Rounds in which leaders are chosen anew.
@@ -78,6 +86,10 @@ def _named(s: np.ndarray) -> int:
     return signed(xxhash.xxh3_64_intdigest(s.tobytes(), 42))
 
 
+def _fingerprint(s: np.ndarray) -> int:
+    return signed(simhash.majority((s[at : at + simhash.CHUNK] for at in range(0, len(s), simhash.CHUNK)), len(s)))
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
@@ -107,25 +119,27 @@ def order_of(hashes: np.ndarray, counts: np.ndarray):
 
 
 def prefixes(docs: DataFrame, doc_id: str, text: str, ordered) -> DataFrame:
-    """doc_id, fp (names the set of shingles), n (its size), w (how many of 100 are common), prefix of each row."""
+    """doc_id, fp (names the set of shingles), n (its size), w (how many of 100 are common), sim (its SimHash
+    fingerprint), prefix of each row."""
 
     def prefix(s: np.ndarray) -> tuple[int, np.ndarray]:
         weight, order = ordered(s)
         return 100 * np.count_nonzero(weight) // max(1, len(s)), s[order][: prefix_length(len(s))]
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        names, sizes, shares, heads = [], [], [], []
+        names, sizes, shares, sims, heads = [], [], [], [], []
         for s in _sets(batch):
             names.append(_named(s))
             sizes.append(len(s))
             share, head = prefix(s)
             shares.append(share)
+            sims.append(_fingerprint(s))
             heads.append(head)
-        return [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shares, pa.int32()), _lists(heads)]
+        return [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shares, pa.int32()), pa.array(sims, pa.int64()), _lists(heads)]
 
     rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("__text"))
-    fields = [StructField("fp", LongType()), StructField("n", LongType()), StructField("w", IntegerType()), StructField("prefix", LONGS)]
-    return append_arrow(rows, fields, lambda: make, "__text").select("doc_id", "fp", "n", "w", "prefix")
+    fields = [StructField("fp", LongType()), StructField("n", LongType()), StructField("w", IntegerType()), StructField("sim", LongType()), StructField("prefix", LONGS)]
+    return append_arrow(rows, fields, lambda: make, "__text").select("doc_id", "fp", "n", "w", "sim", "prefix")
 
 
 def may(na: str, ia: str, nb: str, ib: str) -> Column:
@@ -171,6 +185,25 @@ def confirmed(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, doc_id: st
     return found
 
 
+def hashed(distinct: DataFrame) -> DataFrame:
+    """u, v: a table of the pairs of sets (fp, sim) that fingerprints propose: what simhash.links lets pass of
+    different ones, by their least fp, and each set with the least fp of its fingerprint."""
+    sims = materialise(distinct.groupBy("sim").agg(F.min("fp").alias("m")), "sims")
+    equal = distinct.select("fp", "sim").join(sims, "sim").where("fp <> m").select(F.col("fp").alias("u"), F.col("m").alias("v"))
+    a, b = (sims.select(F.col("sim").alias(x), F.col("m").alias(f"m{x}")) for x in "uv")
+    close = simhash.links(sims.select(F.col("sim").alias("fp")), BITS).join(b, "v").join(a, "u")
+    return materialise(equal.union(close.select("mu", "mv")), "hashed")
+
+
+def apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    """Those of pairs (u, v) that links so far (fp, root) leave apart. The table pairs is gone after that."""
+    a, b = (root.select(F.col("fp").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
+    both = pairs.join(b, "v", "left").join(a, "u", "left")
+    out = materialise(both.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"), "apart")
+    discard(pairs)
+    return out
+
+
 def led(rows: DataFrame) -> DataFrame:
     """u, v: each set (fp, n) and the leader (m) that it meets in most of rows, where that may be similar."""
     best = rows.where("fp <> m").groupBy("fp", "n", "m").agg(F.count("*").alias("c")).groupBy("fp", "n").agg(F.max(F.struct("c", "m")).alias("best"))
@@ -273,13 +306,14 @@ def proposed(left: DataFrame, rows: DataFrame, root: DataFrame, distinct: DataFr
 
 
 def links(distinct: DataFrame, docs: DataFrame, doc_id: str, text: str, ordered) -> DataFrame:
-    """u, v: links between sets (fp, rep, n, w, prefix) with the components of all similar pairs."""
+    """u, v: links between sets (fp, rep, n, w, sim, prefix) with the components of all similar pairs."""
+    close = confirmed(hashed(distinct), distinct, docs, doc_id, text)
     rows = distinct.select("fp", "n", "w", F.posexplode("prefix").alias("i", "h"))
     met = rows.groupBy("h").agg(F.max(F.struct("w", "fp")).alias("lead"), F.count("*").alias("size")).where("size > 1")
     met = materialise(met.select("h", F.col("lead.fp").alias("m")), "met")
     shared = materialise(rows.drop("w").join(met.hint("merge"), "h"), "shared")
     discard(met)
-    found = confirmed(led(shared), distinct, docs, doc_id, text)
+    found = close.union(confirmed(apart(led(shared), roots(close)), distinct, docs, doc_id, text))
     left = mixed(shared, roots(found))
     for r in range(ROUNDS):
         leads = left.where("root = major").groupBy("h").agg(F.max_by("fp", F.xxhash64(F.lit(r), "fp")).alias("m"))
@@ -294,7 +328,7 @@ def clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """doc_id, fp, component_id of each row, as those of simhash.clusters. Texts without words are equal."""
     ordered = order_of(*common(docs, text))
     fps = materialise(prefixes(docs, doc_id, text, ordered), "prefixes")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("w").alias("w"), F.first("prefix").alias("prefix"))
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("w").alias("w"), F.first("sim").alias("sim"), F.first("prefix").alias("prefix"))
     distinct = materialise(distinct, "distinct")
     ids, reps = materialise(fps.select("doc_id", "fp"), "ids"), materialise(distinct.select("fp", "rep"), "reps")
     discard(fps)

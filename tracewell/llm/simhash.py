@@ -15,6 +15,7 @@ share a probe exactly if they are two bits apart or less. That is linear in the
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import combinations
 
 import numpy as np
@@ -40,13 +41,21 @@ def signed(x: int) -> int:
 
 def fingerprint(words: list[bytes], shingle: int = 3, seed: int = 42) -> int:
     """Unsigned; zero for no words. Fewer words than a shingle: the whole sequence is one shingle."""
-    if not words:
-        return 0
-    n, ones = max(1, len(words) - shingle + 1), np.zeros(64, np.int64)
-    for at in range(0, n, CHUNK):
-        part = words[at : min(n, at + CHUNK) + shingle - 1]
-        grams = map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-        h = np.array([xxhash.xxh64_intdigest(x, seed) for x in grams], np.uint64)
+    n = max(1, len(words) - shingle + 1) if words else 0
+
+    def hashes():
+        for at in range(0, n, CHUNK):
+            part = words[at : min(n, at + CHUNK) + shingle - 1]
+            grams = map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
+            yield np.array([xxhash.xxh64_intdigest(x, seed) for x in grams], np.uint64)
+
+    return majority(hashes(), n)
+
+
+def majority(parts: Iterable[np.ndarray], n: int) -> int:
+    """The bits set in over half of n hashes, which come in parts of about CHUNK."""
+    ones = np.zeros(64, np.int64)
+    for h in parts:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
     return sum(1 << int(i) for i in np.flatnonzero(2 * ones > n))
 
@@ -87,19 +96,21 @@ def coordinates_within(limit: int) -> Column:
     return ok
 
 
-def block_keys() -> Column:
-    """For each pair of 16-bit blocks, the pair's number and value."""
-    block = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
-    return F.array(*[F.shiftleft(block(a), 16).bitwiseOR(block(b)).bitwiseOR(F.lit(n << 32)) for n, (a, b) in enumerate(combinations(range(4), 2))])
+def block_keys(bits: int = MAX_BITS) -> Column:
+    """For each pair of bits + 2 blocks, the pair's number and value: with so many bits apart two blocks are equal."""
+    ends = [64 * i // (bits + 2) for i in range(bits + 3)]
+    block = lambda i: F.shiftrightunsigned("fp", ends[i]).bitwiseAND(F.lit((1 << ends[i + 1] - ends[i]) - 1))
+    return F.array(*[F.shiftleft(block(a), 16).bitwiseOR(block(b)).bitwiseOR(F.lit(n << 32)) for n, (a, b) in enumerate(combinations(range(bits + 2), 2))])
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """u, v: links between distinct fingerprints (column fp) that leave its components as they are.
 
     Small buckets propose all their pairs, and a probe pairs its members with the lowest of them. Every
-    proposed pair goes by the pivot table and is then verified."""
+    proposed pair goes by the pivot table and is then verified. With more bits than MAX_BITS, crowded
+    buckets still propose pairs at MAX_BITS only."""
     table = materialise(pivot_table(distinct.select("fp")), "pivots")
-    keys = table.withColumn("k", F.explode(block_keys()))
+    keys = table.withColumn("k", F.explode(block_keys(bits)))
     sizes = materialise(keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     small = materialise(keys.join(sizes.where(F.col("n") <= BUCKET), "k").drop("n"), "small_buckets")
     pairs = small.alias("a").join(small.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") < F.col("b.fp")))
@@ -109,13 +120,13 @@ def links(distinct: DataFrame) -> DataFrame:
     met = materialise(probes.groupBy("probe").agg(F.min("fp").alias("m"), F.count("*").alias("n")).where("n > 1").select("probe", "m"), "probes")
     starred = probes.join(met, "probe").where("fp <> m").select("fp", "m").distinct()
     led = starred.join(table, "fp").alias("a").join(table.alias("b"), F.col("a.m") == F.col("b.fp"))
-    return near(pairs).union(near(led)).distinct()
+    return near(pairs, bits).union(near(led, bits)).distinct()
 
 
-def near(pairs: DataFrame) -> DataFrame:
+def near(pairs: DataFrame, bits: int) -> DataFrame:
     """u, v: pairs of rows a and b of the pivot table that the table lets pass and their bits confirm."""
-    verified = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MAX_BITS
-    return pairs.where(coordinates_within(MAX_BITS)).where(verified).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    verified = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= bits
+    return pairs.where(coordinates_within(bits)).where(verified).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
 def clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
