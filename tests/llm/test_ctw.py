@@ -4,6 +4,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,19 @@ def test_beats_single_bytes_on_held_out_texts(spark, sf_dir):
     n = sum(bytes_of.values())
     ideal = sum(c * math.log10(c / n) for c in bytes_of.values())
     assert queries.op5_lm_score(spark, sf_dir).where("held_out").agg(F.sum("score")).first()[0] > 0.8 * ideal
+
+
+def test_each_distinct_gram_is_searched_once(monkeypatch):
+    """Scores are looked up by distinct grams in rising order, and are those of a plain search; nothing hashes grams one by one."""
+    streams = [b"the cat sat on the mat " * 40, b"", b"zebra" * 30]
+    plain = sorted({g for s in streams for g in ctw.grams_of([s])[0].tolist()})
+    monkeypatch.setattr(np, "unique", None)
+    known = ctw.distinct_grams(streams)
+    assert known.tolist() == plain
+    grams, values = ctw.grams_of(streams)[0], np.arange(len(known)) / 7
+    asked, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v: asked.append(v) or search(a, v))
+    assert ctw.looked_up(grams, known, values).tolist() == [plain.index(g) / 7 for g in grams.tolist()]
+    assert [len(v) for v in asked] == [len(known)] and (np.diff(asked[0]) > 0).all()
+    none = np.zeros(0, np.int64)
+    assert len(ctw.distinct(none)) == len(ctw.looked_up(none, known, values)) == 0
