@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tracewell.llm import neardup, simhash, stages
 
@@ -88,6 +90,50 @@ def test_pairs_grow_in_proportion(spark, monkeypatch, passage):
     assert made[300] <= 3 * max(made[150], 300)
 
 
+def test_pairs_meet_few_bytes_and_go_before_whole_sets(spark, monkeypatch):
+    """Texts that share two thirds of their words share most of a prefix. Such pairs meet less than a prefix each, and
+    none of them gets to whole sets; copies do."""
+    r, rows, tables = random.Random(11), [], {}
+    word = lambda: f"w{r.randrange(10**6)}"
+    for _ in range(30):
+        base = [word() for _ in range(300)]
+        rows += [" ".join([*base[:200], *(word() for _ in range(100))]) for _ in range(3)] + [" ".join(base), " ".join([*base, "more"])]
+    rows = [(i, t, "") for i, t in enumerate(rows)]
+    write = neardup.materialise
+
+    def seen(df, name):
+        out = write(df, name)
+        tables.setdefault(name, []).extend(out.collect())
+        return out
+
+    monkeypatch.setattr(neardup, "materialise", seen)
+    out = neardup.clusters(spark.createDataFrame(rows, DOCS)).collect()
+    assert {x.doc_id: x.component_id for x in out} == components(rows) == {i: i - (i % 5 == 4) for i in range(150)}
+    proposed = {(x.u, x.v) for name in ("hashed", "apart", "led", "mixed_pairs") for x in tables[name]}
+    likely = {(x.u, x.v) for x in tables["likely"]}
+    assert len(proposed) > 40 and len(likely) == 30
+    longs = [sum(len(x) for x in row if isinstance(x, list)) for row in tables["heads"]]
+    assert longs and max(longs) < 300 // 5 // 4
+
+
+def test_parities_bound_what_sets_share(spark):
+    """Never below what is shared, also where one set has twice the bits of the other; sets that share little go."""
+    r, pairs = np.random.default_rng(5), []
+    for n in (0, 1, 5, 63, 64, 65, 100, 128, 130, 500, 512, 520, 5000):
+        for more, gone in ((0, 0), (1, 0), (0, 1), (n // 9, 0), (n // 20, n // 20), (n // 3, n // 3)):
+            own = r.integers(-(2**63), 2**63, n + more)
+            a, b = np.sort(own[:n]), np.sort(own[min(gone, n) :])
+            pairs.append((n, len(b), [int(x) for x in neardup.parities(a)], [int(x) for x in neardup.parities(b)], n - min(gone, n)))
+    made = spark.createDataFrame(pairs, "na long, nb long, ba array<long>, bb array<long>, shared long")
+    similar_size = neardup.enough(F.least("na", "nb"), F.col("na"), F.col("nb"))
+    got = made.where(similar_size).withColumn("most", neardup.shared_at_most("na", "ba", "nb", "bb")).withColumn("back", neardup.shared_at_most("nb", "bb", "na", "ba")).collect()
+    assert any(len(x.ba) != len(x.bb) for x in got)
+    assert all(x.shared <= x.most == x.back for x in got)
+    assert all(x.most == x.shared for x in got if x.na == x.nb == x.shared)
+    far = [x for x in got if x.na == x.nb >= 64 and x.shared < 0.7 * x.na]
+    assert far and all(9 * x.most < 4 * (x.na + x.nb) for x in far)
+
+
 def test_stage_drops_copies_with_changed_words(spark):
     rows = corpus()
     kept = stages.near_dedup(spark, spark.createDataFrame(rows, DOCS), "")

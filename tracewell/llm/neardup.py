@@ -10,7 +10,11 @@ and no limit of bits is sure to hold all similar pairs. So the links that finger
 from prefixes: with the shingles of each set in one order for all texts, two
 sets that similar share one of the first n - ceil(0.8 n) + 1 of their n. Any order is right. This one puts
 shingles last that are common in a sample, so that a passage in many texts proposes few pairs. What a
-prefix proposes goes by the links of fingerprints, size, position and shared prefix and is then confirmed on the whole sets.
+prefix proposes goes by the links of fingerprints, size, position and parities and is then confirmed on the whole sets.
+
+Parities are a few bytes for a set: bit k is set if an odd number of its shingles fall on k. Where two sets' bits
+differ, a shingle is in one of them alone, so the count of such bits bounds what they can share. Pairs meet those
+and not the prefixes, which are some eight times as long.
 
 Groups of copies share whole prefixes, so all pairs are out of the question. First each text is compared
 with a leader of its buckets, the text with the largest share of common shingles, which is the least
@@ -90,6 +94,12 @@ def _fingerprint(s: np.ndarray) -> int:
     return signed(simhash.majority((s[at : at + simhash.CHUNK] for at in range(0, len(s), simhash.CHUNK)), len(s)))
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Bit k of as many as s has shingles, rounded up to a power of two: whether an odd number of shingles has remainder k."""
+    bits = 1 << max(6, (len(s) - 1).bit_length())
+    return np.packbits(np.bincount(s & (bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
@@ -120,26 +130,27 @@ def order_of(hashes: np.ndarray, counts: np.ndarray):
 
 def prefixes(docs: DataFrame, doc_id: str, text: str, ordered) -> DataFrame:
     """doc_id, fp (names the set of shingles), n (its size), w (how many of 100 are common), sim (its SimHash
-    fingerprint), prefix of each row."""
+    fingerprint), bits (its parities), prefix of each row."""
 
     def prefix(s: np.ndarray) -> tuple[int, np.ndarray]:
         weight, order = ordered(s)
         return 100 * np.count_nonzero(weight) // max(1, len(s)), s[order][: prefix_length(len(s))]
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        names, sizes, shares, sims, heads = [], [], [], [], []
+        names, sizes, shares, sims, bits, heads = [], [], [], [], [], []
         for s in _sets(batch):
             names.append(_named(s))
             sizes.append(len(s))
             share, head = prefix(s)
             shares.append(share)
             sims.append(_fingerprint(s))
+            bits.append(parities(s))
             heads.append(head)
-        return [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shares, pa.int32()), pa.array(sims, pa.int64()), _lists(heads)]
+        return [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shares, pa.int32()), pa.array(sims, pa.int64()), _lists(bits), _lists(heads)]
 
     rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("__text"))
-    fields = [StructField("fp", LongType()), StructField("n", LongType()), StructField("w", IntegerType()), StructField("sim", LongType()), StructField("prefix", LONGS)]
-    return append_arrow(rows, fields, lambda: make, "__text").select("doc_id", "fp", "n", "w", "sim", "prefix")
+    fields = [StructField("fp", LongType()), StructField("n", LongType()), StructField("w", IntegerType()), StructField("sim", LongType()), StructField("bits", LONGS), StructField("prefix", LONGS)]
+    return append_arrow(rows, fields, lambda: make, "__text").select("doc_id", "fp", "n", "w", "sim", "bits", "prefix")
 
 
 def may(na: str, ia: str, nb: str, ib: str) -> Column:
@@ -153,19 +164,31 @@ def enough(shared: Column, na: Column, nb: Column) -> Column:
     return shared * (LEAST[0] + LEAST[1]) >= (na + nb) * LEAST[0]
 
 
+def shared_at_most(na: str, ba: str, nb: str, bb: str) -> Column:
+    """How many shingles sets of na and nb, of similar size, share at most by their parities ba and bb. Where one
+    has twice the bits of the other its halves are added up first."""
+    a, b = F.col(ba), F.col(bb)
+    xor = lambda x, y: x.bitwiseXOR(y)
+    halved = lambda x, to: F.when(F.size(x) > F.size(to), F.zip_with(F.slice(x, 1, F.size(to)), F.slice(x, F.size(to) + 1, F.size(to)), xor)).otherwise(x)
+    apart = F.aggregate(F.zip_with(halved(a, b), halved(b, a), xor), F.lit(0), lambda n, x: n + F.bit_count(x))
+    return F.floor((F.col(na) + F.col(nb) - apart) / 2)
+
+
 def behind(n: str) -> Column:
     """How many shingles of a set of n are not in its prefix."""
     return F.expr(f"({n} * {LEAST[0]} + {LEAST[1] - 1}) div {LEAST[1]} - 1")
 
 
 def confirmed(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Those of pairs (u, v) whose sets are similar: by what their prefixes share and at most can share
-    beyond them, then on the whole sets of the texts that name them. The table pairs is gone after that."""
+    """Those of pairs (u, v) whose sets are similar: by sizes and parities, then on the whole sets of the texts
+    that name them. The table pairs is gone after that."""
     ends = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
-    heads = materialise(distinct.join(ends, "fp").select("fp", "n", "prefix"), "heads")
-    a, b = (heads.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}")).hint("merge") for x in "uv")
-    most = F.size(F.array_intersect("pu", "pv")) + F.greatest(behind("nu"), behind("nv"))
-    proposed, pairs = pairs, materialise(pairs.join(b, "v").join(a, "u").where(enough(most, F.col("nu"), F.col("nv"))).select("u", "v"), "likely")
+    heads = materialise(distinct.select("fp", "n", "bits").join(ends, "fp"), "heads")
+    a, b = (heads.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}")).hint("merge") for x in "uv")
+    sized = pairs.join(b, "v").join(a, "u").where(enough(F.least("nu", "nv"), F.col("nu"), F.col("nv")))
+    likely = materialise(sized.where(enough(shared_at_most("nu", "bu", "nv", "bv"), F.col("nu"), F.col("nv"))).select("u", "v"), "likely")
+    discard(heads, pairs)
+    pairs = likely
     asked = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
     asked = materialise(asked.join(distinct.select("fp", "rep"), "fp"), "asked")
     ids = broadcast_below(asked.select(F.col("rep").alias("doc_id")).where("doc_id IS NOT NULL"), BROADCAST_IDS)
@@ -181,7 +204,7 @@ def confirmed(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, doc_id: st
     a, b = (whole.select(F.col("fp").alias(x), F.col("hs").alias(f"h{x}")).hint("merge") for x in "uv")
     both = pairs.join(b, "v").join(a, "u")
     found = materialise(both.where(enough(F.size(F.array_intersect("hu", "hv")), F.size("hu"), F.size("hv"))).select("u", "v"), "links")
-    discard(heads, asked, whole, pairs, proposed)
+    discard(asked, whole, pairs)
     return found
 
 
@@ -306,7 +329,7 @@ def proposed(left: DataFrame, rows: DataFrame, root: DataFrame, distinct: DataFr
 
 
 def links(distinct: DataFrame, docs: DataFrame, doc_id: str, text: str, ordered) -> DataFrame:
-    """u, v: links between sets (fp, rep, n, w, sim, prefix) with the components of all similar pairs."""
+    """u, v: links between sets (fp, rep, n, w, sim, bits, prefix) with the components of all similar pairs."""
     close = confirmed(hashed(distinct), distinct, docs, doc_id, text)
     rows = distinct.select("fp", "n", "w", F.posexplode("prefix").alias("i", "h"))
     met = rows.groupBy("h").agg(F.max(F.struct("w", "fp")).alias("lead"), F.count("*").alias("size")).where("size > 1")
@@ -328,7 +351,7 @@ def clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """doc_id, fp, component_id of each row, as those of simhash.clusters. Texts without words are equal."""
     ordered = order_of(*common(docs, text))
     fps = materialise(prefixes(docs, doc_id, text, ordered), "prefixes")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("w").alias("w"), F.first("sim").alias("sim"), F.first("prefix").alias("prefix"))
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("w").alias("w"), F.first("sim").alias("sim"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     distinct = materialise(distinct, "distinct")
     ids, reps = materialise(fps.select("doc_id", "fp"), "ids"), materialise(distinct.select("fp", "rep"), "reps")
     discard(fps)
