@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.scalar import glob_regex
 from tracewell.operators.hierarchy import root_of, with_self
+from tracewell.sources.shared import cut, small
 
 
 def best_rules(nodes: DataFrame, rules: list[dict]) -> DataFrame:
@@ -30,7 +31,8 @@ def best_rules(nodes: DataFrame, rules: list[dict]) -> DataFrame:
 def assign(nodes: DataFrame, closure: DataFrame, rules: list[dict], instances: DataFrame, first_layer: str) -> DataFrame:
     """urn, layer, confidence, inherited. The nearest of the node and its ancestors with an instance decides;
     else the rule of the root, else the first layer with confidence 0.5. So all but roots inherit."""
-    given = instances.select(F.col("urn").alias("ancestor_urn"), F.col("layer").alias("given"))
+    given = cut(instances.select(F.col("urn").alias("ancestor_urn"), F.col("layer").alias("given")))
+    given = small(given, given.count())
     own = with_self(closure, nodes).join(given, "ancestor_urn").groupBy("urn").agg(F.min_by("given", F.struct("dist", "ancestor_urn")).alias("given"), F.min("dist").alias("dist"))
     tops = nodes.join(closure.select("urn").distinct(), "urn", "left_anti")  # rules matter for roots alone
     by_root = root_of(closure, nodes).join(best_rules(tops, rules).select(F.col("urn").alias("root"), F.col("layer").alias("rule")), "root")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracewell.operators.governance import resolved_levels
 from tracewell.operators.hierarchy import anchors_at_level
 from tracewell.operators.traversal import hop_pairs
-from tracewell.sources.shared import cut, small
+from tracewell.sources.shared import cut, small, stored
 
 MAX_NODES, MAX_SECONDS, CANDIDATES = 2000, 8.0, 5
 SUMMARY = "focus_urn string, focus_level int, level int, anchor_urn string, inherited boolean, inherited_from string, truncated boolean, reason string, hops int"
@@ -112,6 +112,7 @@ def trace(pairs: DataFrame, closure: DataFrame, nodes: DataFrame, containment: D
     asked = cut(resolved_levels(urn.select("urn", F.lit(level).alias("spec")), nodes, types).join(nodes.select("urn", F.col("level").alias("focus_level")), "urn", "left"))
     at = asked.first()["level"]  # one row; files of pairs are chosen by it
     own = hop_pairs(pairs.where((F.col("source_level") == at) & (F.col("target_level") == at)), edge_types)
+    own = stored(own.select("source_urn", "target_urn", "weight", "edge_types"), "level")  # every hop reads it
     anchor = cut(anchors_at_level(closure.join(F.broadcast(asked.select("urn")), "urn", "left_semi"), nodes, at, asked).select(F.col("anchor").alias("urn")))
     start = cut(inheriting(own, closure, nodes, anchor, at) if inherited else anchor.select("urn", F.lit(None).cast("string").alias("lacking")))
     found, edges, reason, hops = walk(own, start, up_depth, down_depth, max_nodes, seconds)
