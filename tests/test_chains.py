@@ -86,3 +86,11 @@ def test_what_is_stored(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(catalogue, "stored", lambda df, name, *by: seen.add(name) or real(df, name, *by))
     assert catalogue.queries()[name](spark, sf_dir).limit(1).count() == 1
     assert seen <= STORED[name]
+
+
+def test_nearest_with_lineage(spark, odd):
+    from tracewell.operators import traversal
+
+    g, _, closure = both(spark, odd)
+    some = g.edges.where("edge_type = 'DERIVED_FROM'")
+    assert rows_of(traversal.with_lineage_in(some, g.ups)) == rows_of(traversal.with_lineage_or_ancestor(some, closure, g.nodes))

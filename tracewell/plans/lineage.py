@@ -83,7 +83,7 @@ def hop_by_type(t):
 
 @query("self AS (SELECT urn, ancestor_urn, dist FROM anc UNION ALL SELECT urn, urn, 0 FROM nodes), ends AS (SELECT source_urn AS u FROM edges UNION SELECT target_urn FROM edges) SELECT urn, ARG_MIN(ancestor_urn, dist) AS anchor, CAST(MIN(dist) AS INTEGER) AS dist FROM self WHERE ancestor_urn IN (SELECT u FROM ends) GROUP BY 1", NODES, EDGES, ANC)
 def inherited_anchors(t):
-    return traversal.with_lineage_or_ancestor(t.edges, t.closure, t.nodes)
+    return traversal.with_lineage_in(t.edges, t.graph.ups)
 
 
 @query("s AS (SELECT urn FROM nodes WHERE level = 4 AND urn LIKE 'urn:lg:tpch:column:1-%'), st AS (SELECT urn FROM s WHERE urn IN (SELECT source_urn FROM edges) UNION SELECT parent_urn FROM containment WHERE child_urn IN (SELECT urn FROM s) AND child_urn NOT IN (SELECT source_urn FROM edges)), w AS (SELECT urn, 0 AS depth FROM st UNION SELECT e.target_urn, w.depth + 1 FROM w JOIN edges e ON e.source_urn = w.urn WHERE w.depth < 3) SELECT urn, MIN(depth) AS depth FROM w GROUP BY 1 HAVING MIN(depth) > 0", NODES, EDGES, ANC)
